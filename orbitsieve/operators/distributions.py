@@ -5,12 +5,10 @@ fixed size. Draws are expressions over ``rand``: a draw is looked up in a table
 steps of the fitted density cut to the range of the data, so nothing is rejected or redrawn.
 """
 
-import itertools
 import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.pdfs import FAMILIES
@@ -64,42 +62,51 @@ def _start(family: str, lo: float, hi: float, mean: float, std: float) -> dict[s
 def _search(spark: SparkSession, hist: DataFrame, jobs: dict[str, tuple[str, dict]]) -> dict[str, tuple]:
     """Least squares by coarse-to-fine search: each round scores all candidates of all columns at once.
 
-    Candidates meet the bins of their own column through an equi-join; both sides have fixed size.
+    A candidate is a number whose digits pick a value on each parameter axis. Candidates meet the
+    bins of their own column through an equi-join; both sides have fixed size.
     """
     best: dict[str, tuple] = {}
     ranges = {name: dict(start) for name, (_, start) in jobs.items()}
-    for number in range(ROUNDS):
-        rows = []
+    digits = [
+        (F.floor(F.col("id") / F.pow("points", F.lit(float(k)))) % F.col("points")).cast("int") for k in range(4)
+    ]
+    values = [F.get(F.get("axes", F.lit(k)), d) for k, d in enumerate(digits)]
+    pdf = F.lit(None).cast("double")
+    for family in sorted({f for f, _ in jobs.values()}):
+        spec = FAMILIES[family]
+        args = [F.col(f"p{k}") for k in range(len(spec.params))]
+        args += [F.col("derived")] if spec.derived else []
+        pdf = F.when(F.col("family") == family, spec.pdf(F.col("center"), *args)).otherwise(pdf)
+    miss = F.nanvl(pdf, F.lit(1e150)) - F.col("density")
+    for _ in range(ROUNDS):
+        rows, axes_of = [], {}
         for name, (family, _) in jobs.items():
             spec = FAMILIES[family]
+            size = POINTS[len(spec.params)]
             axes = []
             for p in spec.params:
                 mid, half = ranges[name][p]
-                values = np.linspace(mid - half, mid + half, POINTS[len(spec.params)])
-                axes.append(np.exp(values) if p in spec.positive else values)
-            for values in itertools.product(*axes):
-                more = [spec.derived(values[0])] if spec.derived else []
-                row = list(map(float, values)) + more
-                rows.append([name, family, *row, *[None] * (4 - len(row))])
-        candidates = spark.createDataFrame(
-            pd.DataFrame(rows, columns=["name", "family", "p0", "p1", "p2", "p3"]),
-            "name string, family string, p0 double, p1 double, p2 double, p3 double",
+                axis = np.linspace(mid - half, mid + half, size)
+                axes.append([float(v) for v in (np.exp(axis) if p in spec.positive else axis)])
+            derived = [spec.derived(v) for v in axes[0]] if spec.derived else [None] * size
+            axes_of[name] = axes
+            rows.append((name, family, size, size ** len(axes), axes, derived))
+        table = spark.createDataFrame(
+            rows,
+            "name string, family string, points int, total int, axes array<array<double>>, more array<double>",
         )
-        pdf = F.lit(None).cast("double")
-        for family in {f for f, _ in jobs.values()}:
-            spec = FAMILIES[family]
-            args = [F.col(f"p{k}") for k in range(len(spec.params) + bool(spec.derived))]
-            pdf = F.when(F.col("family") == family, spec.pdf(F.col("center"), *args)).otherwise(pdf)
-        miss = F.nanvl(pdf, F.lit(1e150)) - F.col("density")
-        scored = candidates.join(hist, "name").groupBy("name", "p0", "p1", "p2", "p3").agg(
-            F.sum(miss * miss).alias("sse")
+        candidates = table.withColumn("id", F.explode(F.sequence(F.lit(0), F.col("total") - 1))).select(
+            "name", "family", "id", F.get("more", digits[0]).alias("derived"),
+            *[v.alias(f"p{k}") for k, v in enumerate(values)],
         )
-        top = scored.groupBy("name").agg(F.min_by(F.struct("p0", "p1", "p2", "p3"), "sse").alias("p"), F.min("sse").alias("sse"))
+        scored = candidates.join(hist, "name").groupBy("name", "id").agg(F.sum(miss * miss).alias("sse"))
+        top = scored.groupBy("name").agg(F.min_by("id", "sse").alias("id"), F.min("sse").alias("sse"))
         for row in top.collect():
             name, spec = row["name"], FAMILIES[jobs[row["name"]][0]]
-            values = dict(zip(spec.params, row["p"]))
+            axes = axes_of[name]
             if name not in best or row["sse"] < best[name][1]:
-                best[name] = (values, row["sse"])
+                picked = [axis[row["id"] // len(axis) ** k % len(axis)] for k, axis in enumerate(axes)]
+                best[name] = (dict(zip(spec.params, picked)), row["sse"])
             for p in spec.params:
                 v = best[name][0][p]
                 ranges[name][p] = (math.log(v) if p in spec.positive else v, ranges[name][p][1] * SHRINK)

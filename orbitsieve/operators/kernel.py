@@ -31,7 +31,8 @@ from . import filters, quality
 from .scaling import Scales, bounds, minmax_normalize, unit
 
 BLOCK = 4096  # rows whose features exist at a time
-BANDS = (1.0, 0.5, 0.25)  # half-widths of the rounded hinge, wide to narrow
+BANDS = (1.0, 0.5, 0.2)  # half-widths of the rounded hinge, wide to narrow
+LENGTHS = 0.6 ** np.arange(1, 21)  # shorter steps tried when a full one goes too far
 BIAS = 10.0  # constant feature; makes the penalty on the intercept negligible
 
 
@@ -123,7 +124,7 @@ class MarginSVCModel(Model, _MarginParams):
             x = np.stack([np.asarray(s, dtype=float) for s in xs], axis=1)
             out = np.empty(len(x))
             for k in range(0, len(x), BLOCK):
-                out[k : k + BLOCK] = features(x[k : k + BLOCK]) @ beta
+                out[k : k + BLOCK] = features(x[k : k + BLOCK], "float32") @ beta
             return pd.Series(out)
 
         return decide(*[F.col(c) for c in cols])
@@ -136,61 +137,80 @@ class MarginSVCModel(Model, _MarginParams):
 
 
 def _affine():
-    return lambda x: np.hstack([x, np.ones((len(x), 1))])
+    return lambda x, dtype="float64": np.hstack([x, np.ones((len(x), 1))]).astype(dtype)
 
 
 def _fourier(dims: int, size: int, gamma: float, seed: int):
     """Features whose inner product approximates the kernel (Rahimi & Recht, 2007)."""
     rng = np.random.default_rng(seed)
-    omega = rng.normal(0.0, math.sqrt(2 * gamma), (dims, size)).astype("float32")
-    phase = rng.uniform(0.0, 2 * math.pi, size).astype("float32")
-    scale = np.float32(math.sqrt(2.0 / size))
+    omega = rng.normal(0.0, math.sqrt(2 * gamma), (dims, size))
+    phase = rng.uniform(0.0, 2 * math.pi, size)
+    scale = math.sqrt(2.0 / size)
 
-    def features(x):
-        wave = scale * np.cos(np.asarray(x, dtype="float32") @ omega + phase)
-        return np.hstack([wave, np.full((len(x), 1), BIAS, dtype="float32")])
+    def features(x, dtype="float64"):
+        wave = np.cos(np.asarray(x, dtype=dtype) @ omega.astype(dtype) + phase.astype(dtype))
+        wave *= np.asarray(scale, dtype=dtype)
+        return np.hstack([wave, np.full((len(x), 1), BIAS, dtype=dtype)])
 
     return features
 
 
+def _loss(short, w, band):
+    """Loss, slope and curvature of rows that are ``short`` of their margin."""
+    over = np.maximum(short, 0.0)
+    if band is None:
+        return w * over**2, 2.0 * w * over, np.where(short > 0, 2.0, 0.0) * w
+    near = np.abs(short) <= band
+    rounded = np.where(near, (short + band) ** 2 / (4 * band), over)
+    slope = np.clip((short + band) / (2 * band), 0.0, 1.0)
+    return w * rounded, w * slope, np.where(near, w / (2 * band), 0.0)
+
+
+def _blocks(frames, cols, features):
+    for pdf in frames:
+        for k in range(0, len(pdf), BLOCK):
+            rows = pdf.iloc[k : k + BLOCK]
+            yield rows["_y"].to_numpy(), rows["_w"].to_numpy(), features(rows[cols].to_numpy())
+
+
 def _sums(cols, features, beta, band):
-    """Task part of one pass: loss, gradient and Hessian of the data term, as one binary row."""
+    """Task part of one pass: loss, gradient and Hessian of the data term, as binaries."""
 
     def part(frames):
         size = len(beta)
         loss, grad, hess = 0.0, np.zeros(size), np.zeros((size, size))
-        for pdf in frames:
-            for k in range(0, len(pdf), BLOCK):
-                rows = pdf.iloc[k : k + BLOCK]
-                y, w = rows["_y"].to_numpy(), rows["_w"].to_numpy()
-                z = features(rows[cols].to_numpy())
-                short = 1.0 - y * (z @ beta)  # how far the row is from its margin
-                if band is None:
-                    curve = np.where(short > 0, 2.0, 0.0) * w
-                    slope = curve * np.maximum(short, 0.0)
-                    loss += float((w * np.maximum(short, 0.0) ** 2).sum())
-                else:
-                    near = np.abs(short) <= band
-                    curve = np.where(near, w / (2 * band), 0.0)
-                    slope = w * np.clip((short + band) / (2 * band), 0.0, 1.0)
-                    rounded = np.where(near, (short + band) ** 2 / (4 * band), np.maximum(short, 0.0))
-                    loss += float((w * rounded).sum())
-                grad -= z.T @ (slope * y)
-                active = curve > 0
-                za = z[active] * np.sqrt(curve[active])[:, None].astype(z.dtype)
-                hess += za.T @ za
-        upper = hess[np.triu_indices(size)].astype("float32")
+        for y, w, z in _blocks(frames, cols, features):
+            value, slope, curve = _loss(1.0 - y * (z @ beta), w, band)
+            loss += float(value.sum())
+            grad -= z.T @ (slope * y)
+            active = curve > 0
+            za = z[active] * np.sqrt(curve[active])[:, None]
+            hess += za.T @ za
+        upper = hess[np.triu_indices(size)]
         yield pd.DataFrame({"sums": [np.append(loss, grad).tobytes()], "hess": [upper.tobytes()]})
 
     return part
 
 
+def _tries(cols, features, beta, step, band):
+    """Task part of a line search: the loss after each of LENGTHS of the step."""
+
+    def part(frames):
+        total = np.zeros(len(LENGTHS))
+        for y, w, z in _blocks(frames, cols, features):
+            at, along = y * (z @ beta), y * (z @ step)
+            total += [_loss(1.0 - at - t * along, w, band)[0].sum() for t in LENGTHS]
+        yield pd.DataFrame({"k": np.arange(len(LENGTHS)), "loss": total})
+
+    return part
+
+
 def _total(pairs):
-    """Sum of (sums, hess) pairs of binaries; the Hessian only steers the step, so it is float32."""
+    """Sum of (sums, upper half of the Hessian) pairs of binaries."""
     sums = hess = 0.0
     for s, h in pairs:
         sums = sums + np.frombuffer(s)
-        hess = hess + np.frombuffer(h, dtype="float32")
+        hess = hess + np.frombuffer(h)
     return sums, hess
 
 
@@ -220,18 +240,18 @@ def _newton(train, cols, features, band, beta, tasks, tol, rounds=30):
     value, grad, hess = evaluate(beta)
     for _ in range(rounds):
         step = -np.linalg.solve(hess, grad)
-        gain = -float(grad @ step)
-        if gain <= tol * abs(value):
+        if -float(grad @ step) <= tol * abs(value):
             break
-        length = 1.0
-        for _ in range(12):
-            new = evaluate(beta + length * step)
-            if new[0] < value:
+        new = evaluate(beta + step)
+        if new[0] >= value:
+            tries = train.mapInPandas(_tries(cols, features, beta, step, band), "k int, loss double")
+            sums = {r["k"]: r["loss"] for r in tries.groupBy("k").agg(F.sum("loss").alias("loss")).collect()}
+            after = [sums[k] + 0.5 * float(np.sum((beta + t * step) ** 2)) for k, t in enumerate(LENGTHS)]
+            if min(after) >= value:
                 break
-            length *= 0.4
-        else:
-            break
-        beta = beta + length * step
+            step = LENGTHS[int(np.argmin(after))] * step
+            new = evaluate(beta + step)
+        beta = beta + step
         value, grad, hess = new
     return beta
 

@@ -1,0 +1,5 @@
+"""No operator here works on streams of its own: the flows are batch jobs over a catalog.
+
+The row-local operators (filters, labels, geometry, ``moid``) are plain projections and filters and
+can be applied to a streaming DataFrame as they are.
+"""
