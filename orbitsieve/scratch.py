@@ -17,7 +17,11 @@ _local_roots: dict[str, str] = {}
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``; a temporary one in local mode only."""
     sc = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    shared = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or sc.getConf().get("spark.checkpoint.dir")
+        or sc.getCheckpointDir()
+    )
     if shared:
         return f"{shared.rstrip('/')}/orbitsieve-{sc.applicationId}"
     if not sc.master.startswith("local"):

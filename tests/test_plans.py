@@ -55,10 +55,22 @@ def test_no_cross_joins_in_reports(table):
     assert "NestedLoop" not in plan(quality.summary(tagged)) and "Cartesian" not in plan(quality.summary(tagged))
 
 
-def test_scratch_follows_the_checkpoint_setting(spark):
-    old = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", "/tmp/shared-folder")
-    try:
-        assert scratch_root(spark).startswith("/tmp/shared-folder/")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if old is None else spark.conf.set("spark.checkpoint.dir", old)
+class FakeSession:
+    """Session of a cluster with or without a shared folder."""
+
+    def __init__(self, shared):
+        self.conf = {"spark.checkpoint.dir": shared} if shared else {}
+        self.sparkContext = self
+        self.applicationId, self.master = "app-1", "spark://host:7077"
+
+    def getConf(self):
+        return {}
+
+    def getCheckpointDir(self):
+        return None
+
+
+def test_scratch_follows_the_checkpoint_setting():
+    assert scratch_root(FakeSession("hdfs://shared/")) == "hdfs://shared/orbitsieve-app-1"
+    with pytest.raises(RuntimeError):
+        scratch_root(FakeSession(None))
