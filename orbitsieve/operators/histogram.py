@@ -59,14 +59,18 @@ def pair_distribution(
     slot = {
         c: F.least(F.floor(unit(c, *lim[c]) * bins), F.lit(bins - 1)).cast("int") for c in cols
     }
+    pairs = list(combinations(cols, 2))
     cells = F.array(
         *[
-            F.struct(F.lit(f"{x}-{y}").alias("pair"), slot[x].alias("xbin"), slot[y].alias("ybin"))
-            for x, y in combinations(cols, 2)
+            F.struct(F.lit(k).alias("p"), slot[x].alias("xbin"), slot[y].alias("ybin"))
+            for k, (x, y) in enumerate(pairs)
         ]
     )
-    return (
+    counted = (
         df.select("label", F.explode(cells).alias("s"))
-        .groupBy("s.pair", "label", "s.xbin", "s.ybin")
+        .groupBy("s.p", "label", "s.xbin", "s.ybin")
         .agg(F.count("*").alias("n"))
     )
+    # Names only after counting, so that rows are grouped by small integers.
+    names = F.array(*[F.lit(f"{x}-{y}") for x, y in pairs])
+    return counted.select(F.get(names, F.col("p")).alias("pair"), "label", "xbin", "ybin", "n")

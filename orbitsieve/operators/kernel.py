@@ -95,12 +95,14 @@ class MarginSVC(Estimator, _MarginParams):
             if rbf
             else _affine()
         )
-        rows = self._training_rows(df).persist()
-        count = rows.count()
-        # Enough rows per task that its work outweighs the sums it sends.
         size = len(features(np.zeros((1, len(cols))))[0])
-        tasks = max(1, min(df.sparkSession.sparkContext.defaultParallelism, count // (4 * size)))
-        train = rows.repartition(tasks).persist()
+        rows = train = self._training_rows(df).persist()
+        tasks = None
+        if rbf:
+            # Enough cells per task that its work outweighs the sums it sends.
+            width = df.sparkSession.sparkContext.defaultParallelism
+            tasks = max(1, min(width, rows.count() // (4 * size)))
+            train = rows.repartition(tasks).persist()
         beta = np.zeros(size)
         for band in BANDS if rbf else (None,):
             tol = 1e-2 if rbf and band > BANDS[-1] else 1e-3 if rbf else 1e-9
@@ -228,8 +230,8 @@ def _newton(train, cols, features, band, beta, tasks, tol, rounds=30):
 
     def evaluate(b):
         parts = train.mapInPandas(_sums(cols, features, b, band), "sums binary, hess binary")
-        if tasks > 16:  # add in a tree
-            few = parts.repartition(math.ceil(math.sqrt(tasks)))
+        if tasks is None or tasks > 16:  # add in a tree
+            few = parts.repartition(math.ceil(math.sqrt(tasks or 64)))
             parts = few.mapInPandas(_add_up, "sums binary, hess binary")
         sums, upper = _total(parts.collect())
         hess = np.zeros((size, size))
