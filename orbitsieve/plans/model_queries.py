@@ -11,12 +11,11 @@ from ..operators import (
     cascade, clusters, crossval, dbscan as db, density, distributions, filters, generate, grids,
     kernel, quality, scaling,
 )
-from ..operators.moid import append_moid
 from ..sources.fixture import orbits
-from . import domains
+from . import domains, flows
 from .queries import (
     IS_AMOR, IS_APOLLO, IS_ATEN, IS_ATIRA, LABELLED, TAGS, _bounds_cte, labelled_orbits, query, r6,
-    rounded, rule_clusters, sql, _cluster_sql, _unit_sql,
+    rounded, rule_clusters, sql, _cluster_sql, _hist_sql, _unit_sql,
 )
 
 # --- virtual orbits --------------------------------------------------------------------------
@@ -33,6 +32,38 @@ def fit_distributions(spark, sf):
     return spark.createDataFrame(rows, "name string, family string, param string, value double, sse double")
 
 
+def _wave_sql(col: str) -> str:
+    """Least squares of A sin 2x + B cos 2x + C over the histogram by Cramer's rule."""
+    m = [["ss", "sc", "s"], ["sc", "cc", "c"], ["s", "c", "n"]]
+    det = lambda r: (
+        f"({r[0][0]}*({r[1][1]}*{r[2][2]}-{r[1][2]}*{r[2][1]})-{r[0][1]}*({r[1][0]}*{r[2][2]}-{r[1][2]}*{r[2][0]})"
+        f"+{r[0][2]}*({r[1][0]}*{r[2][1]}-{r[1][1]}*{r[2][0]}))"
+    )
+    put = lambda k: [[y if j == k else v for j, v in enumerate(row)] for row, y in zip(m, ("sy", "cy", "sum_y"))]
+    a, b, c = (f"{det(put(k))}/{det(m)}" for k in range(3))
+    bins = _hist_sql("r", col, 50)
+    # The histogram query rounds for its own report; here the full density is needed.
+    bins = bins.replace("ROUND(", "((").replace(", 6) + 0e0", "))")
+    return (
+        f"SELECT '{col}' AS name, {r6(amp=f'360*SQRT(POW({a},2)+POW({b},2))', phase=f'ATAN2({b}, {a})', shift=f'360*({c})')} FROM ("
+        "SELECT SUM(s*s) AS ss, SUM(s*c) AS sc, SUM(c*c) AS cc, SUM(s) AS s, SUM(c) AS c, COUNT(*)*1e0 AS n, SUM(s*y) AS sy, SUM(c*y) AS cy, SUM(y) AS sum_y "
+        f"FROM (SELECT SIN(2*RADIANS(center)) AS s, COS(2*RADIANS(center)) AS c, density AS y FROM ({bins})))"
+    )
+
+
+@query(
+    "harmonic_fit",
+    sql(
+        f"{_wave_sql('w')} UNION ALL {_wave_sql('om')}",
+        "r AS (SELECT w, om FROM orbits WHERE origin = 'real')",
+    ),
+)
+def harmonic_fit(spark, sf):
+    fitted = distributions.fit_distributions(_real(spark, sf), {"w": "harmonic", "om": "harmonic"})
+    rows = [(d.name, 360 * d.params["amp"], d.params["phase"], 360 * d.params["shift"]) for d in fitted.values()]
+    return rounded(spark.createDataFrame(rows, "name string, amp double, phase double, shift double"))
+
+
 @query("harmonic")
 def harmonic(spark, sf):
     df = _real(spark, sf)
@@ -105,7 +136,8 @@ def gen_orbits_inout(spark, sf):
 @query("virtual_orbits_labelled")
 def virtual_orbits_labelled(spark, sf):
     """Fit, generate, compute the distance, label: the chain from a catalog to a training set."""
-    return filters.haz_by_moid(append_moid(gen_orbits(spark, sf)))
+    df = _real(spark, sf)
+    return flows.virtual_population(df, df.count())
 
 
 # --- classifiers -----------------------------------------------------------------------------
@@ -151,8 +183,7 @@ def domain_mask(spark, sf):
 def _cascade_query(k):
     @query(f"cascade_domain{k}")
     def run(spark, sf):
-        df = domains.prepared(_moid_labelled(spark, sf), k).withColumn("domain", F.lit(k))
-        return rounded(quality.summary(cascade.run_cascade(df, domains.flows(k))[0]))
+        return rounded(flows.mine_domain(_moid_labelled(spark, sf), k)[1])
 
 
 for _k in (1, 2, 3):

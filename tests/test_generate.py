@@ -89,3 +89,34 @@ def test_inout_orbits_follow_their_side(spark):
     assert (out["w"][inner] <= 90).all() and (out["w"][~inner] >= 180).all()
     assert (out["e"] < 1).all() and (out["e"] == 0.99).mean() > 0.05
     assert np.allclose(out["a"], out["q"] / (1 - out["e"]))
+
+
+def test_flow_from_catalog_to_reports(spark, orbit_rows, tmp_path):
+    from orbitsieve.plans import flows
+
+    rules = [F.col("q") > 0.9, F.col("q") > 0.3]
+    saved = flows.mine_neas(orbit_rows, 3000, rules, str(tmp_path / "neas"))
+    real = flows.near_earth(orbit_rows).count()
+    count = {r["origin"]: r["count"] for r in saved.groupBy("origin").count().collect()}
+    assert count == {"gen": 3000, "real": real}
+    assert saved.filter("domain = 0 and q > 0.3").isEmpty() and saved.filter("moid is null").isEmpty()
+    out, summary, models = flows.mine_domain(saved.filter("domain = 1"), 4)
+    assert not models and out.filter("not extracted").isEmpty()
+    top = summary.filter("level = 3").collect()
+    assert all(r["pha_fraction"] in (1.0, None) for r in top)
+
+
+def test_distance_search_is_fine_enough(spark):
+    """Near-tangent and near-coplanar orbits have close minima; a finer search finds nothing lower."""
+    from orbitsieve.operators import moid
+
+    rng = np.random.default_rng(8)
+    n = 3000
+    e, q = rng.uniform(0, 0.99, n), rng.uniform(0.98, 1.02, n)
+    rows = [q / (1 - e), e, np.radians(rng.exponential(1.0, n)), rng.uniform(0, 6.28, n), rng.uniform(0, 6.28, n)]
+    fast = moid._solve(*rows)
+    old, moid.GRID = moid.GRID, 1024
+    try:
+        assert np.abs(fast - moid._solve(*rows)).max() < 1e-9
+    finally:
+        moid.GRID = old
