@@ -224,7 +224,7 @@ def _add_up(frames):
 
 
 def _newton(train, cols, features, band, beta, tasks, tol, rounds=30):
-    """Minimise |beta|^2 / 2 + data term for one band width."""
+    """Minimise |beta|^2 / 2 + data term for one band width, until a step gains less than ``tol``."""
     size = len(beta)
     at = np.triu_indices(size)
 
@@ -242,7 +242,7 @@ def _newton(train, cols, features, band, beta, tasks, tol, rounds=30):
     value, grad, hess = evaluate(beta)
     for _ in range(rounds):
         step = -np.linalg.solve(hess, grad)
-        if -float(grad @ step) <= tol * abs(value):
+        if -float(grad @ step) <= 1e-3 * tol * abs(value):
             break
         new = evaluate(beta + step)
         if new[0] >= value:
@@ -253,8 +253,10 @@ def _newton(train, cols, features, band, beta, tasks, tol, rounds=30):
                 break
             step = LENGTHS[int(np.argmin(after))] * step
             new = evaluate(beta + step)
-        beta = beta + step
+        gained, beta = value - new[0], beta + step
         value, grad, hess = new
+        if gained <= tol * abs(value):
+            break
     return beta
 
 
