@@ -17,6 +17,8 @@ def hist_table(df: DataFrame, cols: list[str], n: int = 50) -> DataFrame:
     parts, frames = [], []
     for c in cols:
         lo, hi = lim[c]
+        if lo is None or not 0 < hi > lo:
+            raise ValueError(f"column {c} needs different values up to a positive maximum")
         nb = int(hi * n / (hi - lo)) - 1
         width = hi / nb
         slot = F.least(F.floor(F.col(c) / width), F.lit(nb - 1)).cast("int")

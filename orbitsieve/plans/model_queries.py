@@ -256,6 +256,32 @@ def dbscan_query(spark, sf):
     return out.select("oid", "cluster_id", F.col("is_core").cast("int").alias("is_core"))
 
 
+_EMBEDDED = (
+    "emb AS (SELECT vec_id AS oid, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
+)
+
+
+def _embedded(spark, sf):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    xy = [F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate("xy")]
+    return vectors.select(F.col("vec_id").alias("oid"), *xy)
+
+
+@query(
+    "dbscan_embeddings",
+    recursive(
+        sql(
+            "SELECT oid, cluster_id, CAST(is_core AS INTEGER) AS is_core FROM d_lab",
+            _EMBEDDED,
+            *dbscan_ctes("d", "emb", "x", "y", "0.05e0", 5),
+        )
+    ),
+)
+def dbscan_embeddings(spark, sf):
+    out = db.dbscan(_embedded(spark, sf), ["x", "y"], 0.05, 5)
+    return out.select("oid", "cluster_id", F.col("is_core").cast("int").alias("is_core"))
+
+
 @query(
     "layered_dbscan",
     recursive(
@@ -326,6 +352,21 @@ def kde_grid(spark, sf):
     return rounded(density.kde_grid(scaled, ["w", "q"], 0.05, _KDE, scales=scales)[0])
 
 
+@query(
+    "kde_grid_embeddings",
+    sql(
+        f"SELECT CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy, {r6(x='ix*1e0/40', y='iy*1e0/40', log_density='LN(SUM(EXP(-(POW(u-ix*1e0/40,2)+POW(v-iy*1e0/40,2))/(2*0.1e0*0.1e0)))/(COUNT(*)*2*PI()*0.1e0*0.1e0))')} "
+        "FROM n, (SELECT UNNEST(RANGE(0, 41)) AS ix), (SELECT UNNEST(RANGE(0, 41)) AS iy) GROUP BY ix, iy",
+        _EMBEDDED,
+        "b2 AS (SELECT MIN(x) AS x0, MAX(x) AS x1, MIN(y) AS y0, MAX(y) AS y1 FROM emb)",
+        "n AS (SELECT (x-x0)/(x1-x0) AS u, (y-y0)/(y1-y0) AS v FROM emb, b2)",
+    ),
+)
+def kde_grid_embeddings(spark, sf):
+    scaled, _ = scaling.minmax_normalize(_embedded(spark, sf), ["x", "y"])
+    return rounded(density.kde_grid(scaled, ["x", "y"], 0.1, 41)[0])
+
+
 def _rule(df, *cols):
     """Rule in normalised units in place of a trained model."""
     total = sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0))
