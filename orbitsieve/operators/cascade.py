@@ -7,9 +7,10 @@ cut and mirrored), predicts virtual and real rows alike, and hands on the rows i
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import Estimator
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import groups as G
 from ..scratch import written
@@ -17,23 +18,24 @@ from . import quality
 from .kernel import ColumnModel, fit_columns
 from .scaling import bounds
 
-Transform = Callable[[DataFrame], DataFrame]
+FEATURES = ("a", "e", "i", "w", "om", "q")
 
 
 @dataclass
 class Stage:
     """One trained split.
 
-    ``where`` keeps the rows the stage works on; ``augment`` and then ``train_where`` shape only the
-    training rows. ``counts=False`` evaluates a stage without adding its rows to the result.
+    ``where`` (a condition) keeps the rows the stage works on; ``augment`` and then ``train_where``
+    shape only the training rows. ``counts=False`` evaluates a stage without adding its rows to the
+    result.
     """
 
     name: str
     cols: list[str]
     estimator: Callable[[], Estimator]
-    where: Transform | None = None
-    augment: list[Transform] = field(default_factory=list)
-    train_where: Transform | None = None
+    where: Callable[[], Column] | None = None
+    augment: list[Callable[[DataFrame], DataFrame]] = field(default_factory=list)
+    train_where: Callable[[], Column] | None = None
     follow: str = "rest"
     counts: bool = True
 
@@ -46,10 +48,6 @@ class Flow:
     stages: list[Stage]
 
 
-def _same(df: DataFrame) -> DataFrame:
-    return df
-
-
 def group_rows(df: DataFrame, groups: tuple[str, ...]) -> DataFrame:
     """Rows of the groups with their group in ``grp``; a row on a border appears once per group."""
     tags = F.array_compact(F.array(*[F.when(G.GROUPS[g](), F.lit(g)) for g in groups]))
@@ -57,46 +55,52 @@ def group_rows(df: DataFrame, groups: tuple[str, ...]) -> DataFrame:
 
 
 def run_stage(stage: Stage, rows: DataFrame) -> tuple[DataFrame, ColumnModel]:
-    """Train on the virtual rows of the stage and add ``prediction`` to all its rows."""
-    rows = (stage.where or _same)(rows)
-    virtual = rows.filter(F.col("origin") == "gen").select("label", *_needed(rows))
-    train = virtual
+    """Train on the virtual rows and add ``prediction`` to all rows."""
+    features = [c for c in FEATURES if c in rows.columns]
+    train = rows.filter(F.col("origin") == "gen").select("label", *features)
     for step in stage.augment:
         train = step(train)
-    train = (stage.train_where or _same)(train)
+    if stage.train_where:
+        train = train.filter(stage.train_where())
     scales = bounds(rows.select(*stage.cols).unionByName(train.select(*stage.cols)), stage.cols)
     model = fit_columns(stage.estimator(), train, stage.cols, scales)
     return model.transform(rows), model
 
 
-def _needed(df: DataFrame) -> list[str]:
-    return [c for c in ("a", "e", "i", "w", "om", "q") if c in df.columns]
-
-
 def run_cascade(df: DataFrame, flows: list[Flow]) -> tuple[DataFrame, dict[str, ColumnModel]]:
     """Run all flows over labelled rows with ``origin``.
 
     Returns one row per (orbit, group) with ``extracted`` (inside a counted region) and ``stage``
-    (name of the region, NULL outside), ready for ``quality.summary``; and the models.
+    (name of the region, NULL outside), ready for ``quality.summary``; and the models. The result
+    is put together from the parts the stages leave behind, so no rows are joined or shuffled.
     """
     models: dict[str, ColumnModel] = {}
-    found: list[DataFrame] = []
+    parts: list[DataFrame] = []
+
+    def leave(rows: DataFrame, stage: str | None = None) -> None:
+        parts.append(rows.withColumn("stage", F.lit(stage).cast("string")))
+
+    tagged = quality.tagged_for_summary(df)
+    mined = [g for flow in flows for g in flow.groups]
+    leave(tagged.filter(~F.coalesce(F.col("grp").isin(mined), F.lit(False))) if mined else tagged)
     for flow in flows:
-        rows = written(group_rows(df, flow.groups), "flow")
+        rows = written(tagged.filter(F.col("grp").isin(*flow.groups)), "flow")
         for stage in flow.stages:
+            if stage.where:
+                kept = F.coalesce(stage.where(), F.lit(False))
+                leave(rows.filter(~kept))
+                rows = rows.filter(kept)
             predicted, models[stage.name] = run_stage(stage, rows)
             # The table cuts the lineage: later stages read it and not the models before it.
             predicted = written(predicted, "stage")
-            inside = predicted.filter(F.col("prediction") == 1).drop("prediction")
-            if stage.counts and stage.follow == "rest":
-                found.append(inside.withColumn("stage", F.lit(stage.name)).select("oid", "grp", "stage"))
-            rest = predicted.filter(F.col("prediction") == 0).drop("prediction")
-            rows = inside if stage.follow == "inside" else rest
-    tagged = quality.tagged_for_summary(df)
-    if not found:
-        return tagged.withColumns({"stage": F.lit(None).cast("string"), "extracted": F.lit(False)}), models
-    hits = found[0]
-    for more in found[1:]:
-        hits = hits.unionByName(more)
-    out = tagged.join(hits, ["oid", "grp"], "left")
+            taken = F.coalesce(F.col("prediction") == 1, F.lit(False))
+            inside, rest = (predicted.filter(c).drop("prediction") for c in (taken, ~taken))
+            if stage.follow == "inside":
+                leave(rest)
+                rows = inside
+            else:
+                leave(inside, stage.name if stage.counts else None)
+                rows = rest
+        leave(rows)
+    out = reduce(DataFrame.unionByName, parts)
     return out.withColumn("extracted", F.col("stage").isNotNull()), models

@@ -55,7 +55,7 @@ def flows(domain: int, features: int = 1024) -> list[Flow]:
                 [
                     _stage(
                         "1-apollo", features, augment=[_doubled],
-                        train_where=lambda df: df.filter(F.col("q") > 0.7),
+                        train_where=lambda: F.col("q") > 0.7,
                     ),
                     _stage("1-apollo-rest", features, augment=[_doubled]),
                 ],
@@ -74,13 +74,13 @@ def flows(domain: int, features: int = 1024) -> list[Flow]:
             ),
         ]
     if domain == 2:
-        side = lambda df: df.filter(filters.side_of_line(*DOMAIN_2_LINE, "a", "q") == "left")
+        side = lambda: filters.side_of_line(*DOMAIN_2_LINE, "a", "q") == "left"
         return [
             Flow(
                 ("atira", "aten"),
                 [
                     _stage("2-atira-aten", features, where=side, augment=[_doubled]),
-                    _stage("2-atira-aten-rest", features, where=lambda df: df.filter(F.col("q") > 0.5)),
+                    _stage("2-atira-aten-rest", features, where=lambda: F.col("q") > 0.5),
                 ],
             ),
             Flow(

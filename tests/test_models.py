@@ -130,3 +130,13 @@ def test_classify_by_cluster(orbit_rows):
     rows, share, _ = clusters.classify_by_cluster(parts, est, ["w", "q"], df)
     wrong = rows.filter((F.col("w") < 175) & (F.col("cluster_id") != 1)).count()
     assert wrong == 0 and share.count() == 2
+
+
+def test_cascade_result_is_put_together_without_a_join(orbit_rows):
+    df = labelled(orbit_rows).withColumn("domain", F.lit(1))
+    flow = Flow(("apollo",), [small_stage("one", ["w", "q"], where=lambda: F.col("q") > 0.3)])
+    out, _ = cascade.run_cascade(df, [flow])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    assert out.count() == quality.tagged_for_summary(df).count()
+    assert out.filter("extracted and q <= 0.3").isEmpty()
