@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession, functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from orbitsieve.operators import (  # noqa: E402
-    augment, cascade, clusters, density, dbscan, distributions, filters, generate, geometry,
+    augment, cascade, density, dbscan, distributions, filters, generate, geometry,
     histogram, kernel, moid, quality, scaling,
 )
 from orbitsieve.plans import domains  # noqa: E402

@@ -33,6 +33,23 @@ def group_array() -> Column:
     return F.array_compact(F.array(*[F.when(rule(), F.lit(g)) for g, rule in GROUPS.items()]))
 
 
+def group_slots() -> Column:
+    """One slot per group, NULL where the orbit is not in it: explode, then drop the NULLs."""
+    return F.array(*[F.when(rule(), F.lit(g)) for g, rule in GROUPS.items()])
+
+
+def group_mask() -> Column:
+    """The groups of an orbit as bits of a number, for grouping by a plain integer."""
+    bits = [F.when(rule(), 1 << k).otherwise(0) for k, rule in enumerate(GROUPS.values())]
+    return sum(bits[1:], bits[0])
+
+
+def masked_groups(mask: str) -> Column:
+    """Back from bits to one slot per group."""
+    bit = lambda k: F.col(mask).bitwiseAND(1 << k) != 0
+    return F.array(*[F.when(bit(k), F.lit(g)) for k, g in enumerate(GROUPS)])
+
+
 def label_by_flag() -> Column:
     return F.when(F.col("pha") == "Y", 1).when(F.col("pha") == "N", 0)
 

@@ -15,8 +15,8 @@ def _copies(df: DataFrame, col: str, values: Column) -> DataFrame:
 
 def union_groups(df: DataFrame) -> DataFrame:
     """Bag union of Atiras and Atens: an orbit on their border appears twice. One scan."""
-    tags = F.array_compact(F.array(F.when(G.is_atira(), 1), F.when(G.is_aten(), 2)))
-    return df.withColumn("_tag", F.explode(tags)).drop("_tag")
+    tags = F.array(F.when(G.is_atira(), 1), F.when(G.is_aten(), 2))
+    return df.withColumn("_tag", F.explode(tags)).filter("_tag is not null").drop("_tag")
 
 
 def mirror(df: DataFrame, col: str, v: float) -> DataFrame:
@@ -52,8 +52,10 @@ def extend_copies(df: DataFrame, col: str, factor: float = 0.5) -> DataFrame:
     ends = F.array(
         x, F.when(x < span * factor, x + span), F.when(x > hi - span * factor, x - span)
     )
-    # Keep one slot for an unknown value, so that such rows are not lost.
-    return _copies(df, col, F.when(x.isNull(), F.array(x)).otherwise(F.array_compact(ends)))
+    spread = df.select(*df.columns, F.posexplode(ends).alias("_slot", "_end"))
+    # The first slot is the row itself, kept even where its value is unknown.
+    spread = spread.filter((F.col("_slot") == 0) | F.col("_end").isNotNull())
+    return spread.select(*[F.col("_end").alias(c) if c == col else F.col(c) for c in df.columns])
 
 
 def cluster_mirror(df: DataFrame, col: str, v: float) -> DataFrame:

@@ -50,8 +50,8 @@ class Flow:
 
 def group_rows(df: DataFrame, groups: tuple[str, ...]) -> DataFrame:
     """Rows of the groups with their group in ``grp``; a row on a border appears once per group."""
-    tags = F.array_compact(F.array(*[F.when(G.GROUPS[g](), F.lit(g)) for g in groups]))
-    return df.withColumn("grp", F.explode(tags))
+    tags = F.array(*[F.when(G.GROUPS[g](), F.lit(g)) for g in groups])
+    return df.withColumn("grp", F.explode(tags)).filter(F.col("grp").isNotNull())
 
 
 def run_stage(stage: Stage, rows: DataFrame) -> tuple[DataFrame, ColumnModel]:

@@ -36,7 +36,7 @@ def amors(df: DataFrame) -> DataFrame:
 
 def group_tags(df: DataFrame) -> DataFrame:
     """One row per (orbit, group); an orbit on a border appears once for each of its groups."""
-    return df.withColumn("grp", F.explode(G.group_array()))
+    return df.withColumn("grp", F.explode(G.group_slots())).filter(F.col("grp").isNotNull())
 
 
 def labelled(df: DataFrame, rule: Column) -> DataFrame:

@@ -25,7 +25,8 @@ def hist_table(df: DataFrame, cols: list[str], n: int = 50) -> DataFrame:
         parts.append(F.when(F.col(c) >= 0, F.struct(F.lit(c).alias("name"), slot.alias("bin"))))
         frames.append((c, nb, width))
     counted = (
-        df.select(F.explode(F.array_compact(F.array(*parts))).alias("s"))
+        df.select(F.explode(F.array(*parts)).alias("s"))
+        .filter(F.col("s").isNotNull())
         .groupBy("s.name", "s.bin")
         .agg(F.count("*").alias("n"))
     )

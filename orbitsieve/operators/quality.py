@@ -16,13 +16,14 @@ def group_weight(df: DataFrame, by: str = "origin") -> DataFrame:
     the totals are resolved on those.
     """
     haz = F.col("label") == 1
-    sets = df.groupBy(by, G.group_array().alias("tags")).agg(
+    sets = df.groupBy(by, G.group_mask().alias("mask")).agg(
         _n(haz).alias("pha"), _n(F.col("label") == 0).alias("nha")
     )
     total = F.sum(F.col("pha") + F.col("nha")).over(Window.partitionBy(by))
     return (
         sets.withColumn("total", total)
-        .select(by, "pha", "nha", "total", F.explode("tags").alias("grp"))
+        .select(by, "pha", "nha", "total", F.explode(G.masked_groups("mask")).alias("grp"))
+        .filter(F.col("grp").isNotNull())
         .groupBy(by, "grp", "total")
         .agg(F.sum("pha").alias("n_pha"), F.sum("nha").alias("n_nha"))
         .select(

@@ -14,8 +14,7 @@ from ..operators import (
 from ..sources.fixture import orbits
 from . import domains, flows
 from .queries import (
-    IS_AMOR, IS_APOLLO, IS_ATEN, IS_ATIRA, LABELLED, TAGS, _bounds_cte, labelled_orbits, query, r6,
-    rounded, rule_clusters, sql, _cluster_sql, _hist_sql, _unit_sql,
+    LABELLED, _bounds_cte, labelled_orbits, query, r6, rounded, rule_clusters, sql, _cluster_sql, _hist_sql,
 )
 
 # --- virtual orbits --------------------------------------------------------------------------
