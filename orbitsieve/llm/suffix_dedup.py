@@ -32,7 +32,7 @@ from orbitsieve.scratch import written
 LENGTH, GRAM = 50, 24
 SIDE = LENGTH - GRAM
 WIDTH = 80  # anchor's gram, what follows, what precedes (turned), how much of both; padded to words
-PART = 24 << 20
+PART = 12 << 20
 
 
 def anchors(data: np.ndarray, off: np.ndarray):
@@ -100,13 +100,15 @@ def front_decoded(shared: np.ndarray, rest: np.ndarray, width: int) -> np.ndarra
     own = np.arange(width) >= shared[:, None]
     rows = np.zeros(own.shape, np.uint8)
     rows[own] = rest
-    last = np.maximum.accumulate(np.where(own, np.arange(len(rows))[:, None], 0), axis=0)
-    return np.take_along_axis(rows, last, axis=0)
+    at = np.arange(len(rows))
+    for c in range(width):  # each column's byte comes from the last row that has its own
+        rows[:, c] = rows[np.maximum.accumulate(np.where(own[:, c], at, 0)), c]
+    return rows
 
 
 def _ranges(spark) -> int:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return 1 << min(16, max(4, (2 * parts - 1).bit_length()))
+    return 1 << min(16, max(4, (4 * parts - 1).bit_length()))
 
 
 def _by_range(batches, close):
@@ -271,6 +273,7 @@ def _marks(docs: DataFrame, shared: DataFrame, ranges: int) -> DataFrame:
             rows, doc, at, words = rows[order], doc[order], at[order], words[order]
             n = len(rows)
             gram = np.cumsum(np.concatenate([[False], (words[1:, : GRAM // 8] != words[:-1, : GRAM // 8]).any(1)])).astype(np.uint64)
+            del words, order
             left, right = rows[:, LENGTH + SIDE].astype(int), rows[:, LENGTH + SIDE + 1].astype(int)
             ahead, behind = [tx.mix(gram + np.uint64(1))], [np.zeros(n, np.uint64)]
             for j in range(SIDE):
