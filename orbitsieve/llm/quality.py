@@ -28,16 +28,17 @@ LEAST = (40, 150, 300, 300)
 def statistics(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep`` and the counts of each text, row by row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    first = docs.select(*keep, text.alias("_text"), F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "").alias("_words"))
+    first = docs.select(*keep, text.alias("_text"), F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), "").alias("_words"))
     n = F.size("_words")
-    word = F.col("_words")
+    word = F.col("_hashes")
     # equal windows of five words, found by sorting their hashes
     windows = F.when(n >= 5, F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*(word[i + j] for j in range(5)))))
+    first = first.withColumn("_hashes", F.transform("_words", lambda x: F.xxhash64(x)))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     second = first.select(
         *keep,
         n.cast("long").alias("n_words"),
-        (F.length("_text") - F.length(F.regexp_replace("_text", r"[^\x20\x09-\x0D]+", ""))).cast("long").alias("word_chars"),
+        F.length(F.translate("_text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.when(F.col("_text").contains("\n"), lines).alias("_lines"),
         windows.alias("_h"),
@@ -93,38 +94,40 @@ def chi_above(tail: float, half: int) -> float:
 def scaled(groups: DataFrame, factor: float) -> DataFrame:
     """``groups`` with w**, the inverse of the Cholesky factor of ``factor`` times the covariance c**, to
     which the least variances are added; built up column by column, once per group."""
-    p = range(len(NAMES))
-    for i in p:
-        for j in range(i + 1):
-            cov = factor * F.col(f"c{i}{j}") + (LEAST[i] ** 2 if i == j else 0)
-            rest = cov - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-            value = F.sqrt(F.greatest(rest, F.lit(1.0))) if i == j else rest / F.col(f"l{j}{j}")
-            groups = groups.withColumn(f"l{i}{j}", value)
-    for j in p:
-        for i in range(j, len(NAMES)):
-            rest = F.lit(1.0 if i == j else 0.0) - sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0))
-            groups = groups.withColumn(f"w{i}{j}", rest / F.col(f"l{i}{i}"))
-    return groups.drop(*(f"l{i}{j}" for i in p for j in range(i + 1)))
+    p = len(NAMES)
+
+    def held(df, new):
+        # a row of one array keeps the optimizer from multiplying the expressions out
+        return df.selectExpr("*", *(f"{v} AS {k}" for k, v in new.items())).select(F.inline(F.array(F.struct("*"))))
+
+    def rest(i, j):
+        less = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+        return f"({factor!r}D * c{i}{j} + {LEAST[i] ** 2 if i == j else 0}D{less})"
 
+    for j in range(p):  # column j of the factor, then row i of its inverse
+        groups = held(groups, {f"l{j}{j}": f"sqrt(greatest({rest(j, j)}, 1D))"})
+        if j + 1 < p:
+            groups = held(groups, {f"l{i}{j}": f"{rest(i, j)} / l{j}{j}" for i in range(j + 1, p)})
+    for i in range(p):
+        less = lambda j, i=i: "".join(f" - l{i}{k} * w{k}{j}" for k in range(j, i))
+        groups = held(groups, {f"w{i}{j}": f"({1 if i == j else 0}D{less(j)}) / l{i}{i}" for j in range(i + 1)})
+    return groups.drop(*(f"l{i}{j}" for i in range(p) for j in range(i + 1)))
 
-def squared_distance() -> Column:
-    """Mahalanobis distance to a group's columns m* and w**."""
-    y = [sum(F.col(f"w{i}{j}") * (F.col(NAMES[j]) - F.col(f"m{j}")) for j in range(i + 1)) for i in range(len(NAMES))]
-    return sum(v * v for v in y)
+
+def squared_distance() -> str:
+    """Mahalanobis distance to a group's columns m* and w**, as SQL."""
+    y = (" + ".join(f"w{i}{j} * ({NAMES[j]} - m{j})" for j in range(i + 1)) for i in range(len(NAMES)))
+    return " + ".join(f"pow({v}, 2)" for v in y)
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    n = F.count("*")
-    exact = lambda c: F.sum(c.cast("decimal(38,0)"))
     p = range(len(NAMES))
-    sums = rows.groupBy("group").agg(
-        n.alias("n"), *(exact(F.col(NAMES[i])).alias(f"s{i}") for i in p),
-        *(exact(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"s{i}{j}") for i in p for j in p if j <= i),
-    )
-    mean = lambda i: F.col(f"s{i}").cast("double") / F.col("n")
-    return sums.select(
-        "group", "n", *(mean(i).alias(f"m{i}") for i in p),
-        *((F.col(f"s{i}{j}").cast("double") / F.col("n") - mean(i) * mean(j)).alias(f"c{i}{j}") for i in p for j in p if j <= i),
+    both = [(i, j) for i in p for j in range(i + 1)]
+    sums = [f"CAST(sum(CAST({NAMES[i]} AS DECIMAL(38,0))) AS DOUBLE) AS s{i}" for i in p]
+    sums += [f"CAST(sum(CAST({NAMES[i]} * {NAMES[j]} AS DECIMAL(38,0))) AS DOUBLE) AS s{i}{j}" for i, j in both]
+    moments = rows.groupBy("group").agg(F.expr("count(*) AS n"), *map(F.expr, sums))
+    return moments.selectExpr(
+        "group", "n", *(f"s{i} / n AS m{i}" for i in p), *(f"s{i}{j} / n - s{i} / n * s{j} / n AS c{i}{j}" for i, j in both)
     )
 
 
@@ -146,10 +149,10 @@ def estimates(stats: DataFrame) -> DataFrame:
     )
     now, mark = written(scaled(start, 1.0), "estimates"), None
     for _ in range(ROUNDS):
-        near = rows.join(now, "group").select("group", *NAMES, F.floor(64 * F.log1p(squared_distance())).alias("far"))
+        near = rows.join(now, "group").select("group", *NAMES, F.expr(f"floor(64 * log1p({squared_distance()}))").alias("far"))
         cut = near.groupBy("group").agg(F.expr(f"percentile(far, {SHARE})").alias("cut"))
         now = written(scaled(_moments(near.join(cut, "group").where("far <= cut")), 1.0), "estimates")
-        seen = now.agg(F.sum(F.xxhash64(*now.columns).cast("decimal(38,0)"))).first()[0]
+        seen = now.agg(F.sum(F.xxhash64("group", "n", "m0", "m1", "m2", "m3").cast("decimal(38,0)"))).first()[0]
         if seen == mark:
             break
         mark = seen
@@ -173,7 +176,7 @@ def judge(docs: DataFrame, tail: float = 1e-6, keep: tuple[str, ...] = ("doc_id"
     for i in (0, 1):  # the finest group that has estimates
         rows = rows.join(names.withColumnRenamed("group", f"_k{i}"), F.col(f"_g{i}") == F.col(f"_k{i}"), "left")
     rows = rows.withColumn("group", F.coalesce("_k0", "_k1", "_g2")).join(known, "group", "left")
-    far = squared_distance()
+    far = F.expr(squared_distance())
     return rows.select(
         *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.coalesce(far <= chi_above(tail, half), F.lit(True))).alias("kept"),
