@@ -2,8 +2,8 @@
 
 A mask hashes the words at its marked places and ignores the others, so a changed word spoils only the
 seeds that mark it. All positions of all documents are hashed under each mask and joined to the seeds of
-the benchmark. Around each hit, document and item are laid side by side; the passage counts if at least
-``SIMILAR`` of up to ``REACH`` words on either side agree. Items with fewer words than a mask is long are
+the benchmark. At each hit, document and item are laid side by side; they share a passage if in some
+stretch of ``REACH`` words (or the whole of a shorter item) at least ``SIMILAR`` of the words agree. Items with fewer words than a mask is long are
 hashed whole; items below ``WORDS_MIN`` words can't be told from chance and are left out.
 
 The seeds are broadcast if there are at most ``SEEDS_MOST`` of them, which is counted first; beyond that
@@ -15,62 +15,81 @@ are ignored.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from orbitsieve.scratch import written
+
 # Fixed masks: 1 marks a word that is hashed.
 MASKS = ("11010010111", "11101101001")
-SPAN, WORDS_MIN, SIMILAR, REACH, SEEDS_MOST = 11, 5, 0.8, 13, 1_000_000
+SPAN, WORDS_MIN, SIMILAR, REACH, SEEDS_MOST = 11, 5, 0.8, 16, 1_000_000
 
 
 def _words(text: str) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+"), "")
 
 
-def _seeds(words: str, at: str, short: list[int]) -> Column:
-    """Seed hashes at a position; null where a mask reaches past the end."""
-    n, i, w = F.size(words), F.col(at), F.col(words)
-    out = [
-        F.when(i + len(m) <= n, F.xxhash64(F.lit(k), *(F.get(w, i + j) for j, c in enumerate(m) if c == "1")))
-        for k, m in enumerate(MASKS)
-    ]
-    out += [F.when(i + k <= n, F.xxhash64(F.lit(100 + k), *(F.get(w, i + j) for j in range(k)))) for k in short]
-    return F.array(*out)
+def _seeds(words: str, short: list[int]) -> Column:
+    """For each mask and each short length, the hashes at all positions."""
+    n, h = F.size(words), F.col("_hashes")
+    masks = [[j for j, c in enumerate(m) if c == "1"] for m in MASKS]
+    kinds = [(k, len(m), places) for k, (m, places) in enumerate(zip(MASKS, masks))]
+    kinds += [(100 + k, k, list(range(k))) for k in short]
+
+    def at(kind, places):
+        return lambda i: F.xxhash64(F.lit(kind), *(h[i + j] for j in places))
+
+    none = F.array().cast("array<bigint>")
+    return F.array(*(
+        F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), at(kind, places))).otherwise(none) for kind, size, places in kinds
+    ))
+
+
+def _hashed(rows: DataFrame, words: str) -> DataFrame:
+    return rows.withColumn("_hashes", F.transform(words, lambda x: F.xxhash64(x)))
 
 
 def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, n_same, n_compared, place): each document's best hit of each item; ``place`` is
-    the word of the document at which the compared stretch starts."""
+    """(doc_id, item_id, n_same, n_compared, place): each document's best stretch of each item; ``place`` is
+    the word of the document at which the item, laid beside it, starts."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     items = benchmark.select("item_id", _words("text").alias("item")).where(F.size("item") >= WORDS_MIN)
     short = sorted(r[0] for r in items.where(F.size("item") < SPAN).select(F.size("item").alias("n")).distinct().collect())
     size = F.size("item")
+    own = F.when(size < SPAN, F.get(F.lit([len(MASKS) + i for i, _ in enumerate(short)] or [-1]), F.array_position(F.lit(short or [-1]), size).cast("int") - 1))
     seeds = (
-        items.select("item_id", "item", F.explode(F.sequence(F.lit(0), size - 1)).alias("j"))
-        .select("item_id", "item", "j", F.posexplode(_seeds("item", "j", short)).alias("kind", "seed"))
+        _hashed(items, "item").select("item_id", size.alias("n"), own.alias("own"), F.posexplode(_seeds("item", short)).alias("kind", "hashes"))
         # long items are found by masks, short ones as a whole
-        .where(F.col("seed").isNotNull() & ((F.col("kind") < len(MASKS)) | (F.col("j") + size == size) & (size < SPAN)))
-        .where((F.col("kind") < len(MASKS)) | F.array_contains(F.array(*map(F.lit, [-1, *short])), size))
-        .select("item_id", "item", "j", "seed")
+        .where(F.when(F.col("own").isNull(), F.col("kind") < len(MASKS)).otherwise(F.col("kind") == F.col("own")))
+        .select("item_id", F.posexplode("hashes").alias("j", "seed"))
     )
     if seeds.count() <= SEEDS_MOST:
         seeds = F.broadcast(seeds)
     places = (
-        docs.select(F.col("doc_id").cast("long"), _words("text").alias("words"))
-        .select("doc_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("i"))
-        .where(F.size("words") > 0)
-        .select("doc_id", "words", "i", F.explode(_seeds("words", "i", short)).alias("seed"))
+        _hashed(docs.select("doc_id", _words("text").alias("words")), "words")
+        .select("doc_id", F.explode(_seeds("words", short)).alias("hashes"))
+        .select("doc_id", F.posexplode("hashes").alias("i", "seed"))
+    )
+    hits = written(
+        places.join(seeds, "seed").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("shift")).distinct(), "hits"
     )
-    hits = places.join(seeds, "seed")
-    back = F.least(F.col("i"), F.col("j"), F.lit(REACH))
-    ahead = F.least(F.size("words") - F.col("i"), size - F.col("j"), F.lit(SPAN + REACH))
-    hits = hits.select(
-        "doc_id", "item_id", size.alias("n_item"), (F.col("i") - back).cast("long").alias("place"),
-        F.slice("words", F.col("i") - back + 1, back + ahead).alias("mine"), F.slice("item", F.col("j") - back + 1, back + ahead).alias("theirs"),
+    mine = hits.join(items, "item_id").join(docs.select(F.col("doc_id").alias("_id"), "text"), F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("words", _words("text"))
+    first = F.greatest(F.col("shift"), F.lit(0))
+    length = F.least(F.size("words"), F.col("shift") + size) - first
+    same = F.zip_with(
+        F.slice("words", first + 1, length), F.slice("item", first - F.col("shift") + 1, length), lambda a, b: (a == b).cast("int")
     )
-    same = F.aggregate(F.zip_with("mine", "theirs", lambda a, b: (a == b).cast("int")), F.lit(0), lambda x, y: x + y)
-    good = hits.select("doc_id", "item_id", "n_item", "place", F.size("mine").alias("n"), same.alias("same")).where(
-        (F.col("same") >= SIMILAR * F.col("n")) & (F.col("n") >= F.least(F.col("n_item"), F.lit(REACH)))
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, b: a + b)
+    stretch = F.least(size, F.lit(REACH))
+    good = (
+        mine.where(length >= stretch).select("doc_id", "item_id", "shift", stretch.alias("stretch"), same.alias("same"))
+        .where(F.exists(
+            F.sequence(F.lit(0), F.size("same") - F.col("stretch")),
+            lambda i: total(F.slice("same", i + 1, F.col("stretch"))) >= SIMILAR * F.col("stretch"),
+        ))
+        .select("doc_id", "item_id", total(F.col("same")).alias("n_same"), F.size("same").alias("n"), "shift")
     )
-    best = F.max(F.struct("same", (-F.col("n")).alias("less"), (-F.col("place")).alias("before")))
+    best = F.max(F.struct("n_same", (-F.col("n")).alias("less"), (-F.col("shift")).alias("before")))
     return good.groupBy("doc_id", "item_id").agg(best.alias("x")).select(
-        "doc_id", "item_id", F.col("x.same").cast("long").alias("n_same"), (-F.col("x.less")).cast("long").alias("n_compared"), (-F.col("x.before")).alias("place")
+        "doc_id", "item_id", F.col("x.n_same").cast("long").alias("n_same"), (-F.col("x.less")).cast("long").alias("n_compared"),
+        (-F.col("x.before")).cast("long").alias("place"),
     )
 
 
