@@ -83,7 +83,7 @@ def remove_chunks(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], ["hash", "chunk", "doc_id", "mark", "start", "end"])
 
     parts = written(
-        text.join(wanted, ["doc_id", "mark"]).select("doc_id", "mark", "text", "parts").dropDuplicates(["doc_id", "mark"])
+        text.join(wanted.hint("merge"), ["doc_id", "mark"]).select("doc_id", "mark", "text", "parts").dropDuplicates(["doc_id", "mark"])
         .mapInArrow(bytes_of, "hash long, chunk binary, doc_id long, mark long, start long, end long"),
         "parts",
     )
@@ -119,7 +119,7 @@ def remove_chunks(docs: DataFrame) -> DataFrame:
     fresh = ("text", "n_lines", "n_removed_lines", "n_removed_chunks")
     own = [c for c in docs.columns if c not in fresh]
     whole = docs.withColumn("_text", F.col("text").cast("string")).join(
-        gone, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.xxhash64("_text") == F.col("_mark")), "left"
+        gone.hint("merge"), (F.col("doc_id").cast("long") == F.col("_doc")) & (F.xxhash64("_text") == F.col("_mark")), "left"
     ).select(*own, "_text", "_gone")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields[:-2])
     out = whole.mapInArrow(cut, f"{kinds}, text string, n_lines long, n_removed_lines long, n_removed_chunks long")
