@@ -156,7 +156,7 @@ def estimates(stats: DataFrame) -> DataFrame:
         if seen == mark:
             break
         mark = seen
-    return now
+    return now.drop(*(f"w{i}{j}" for i in p for j in range(i + 1)))
 
 
 def groups() -> list[Column]:
