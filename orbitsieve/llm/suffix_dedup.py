@@ -32,7 +32,7 @@ from orbitsieve.scratch import written
 LENGTH, GRAM = 50, 24
 SIDE = LENGTH - GRAM
 WIDTH = 80  # anchor's gram, what follows, what precedes (turned), how much of both; padded to words
-PART = 12 << 20
+PART, BLOCK = 6 << 20, 1 << 18
 
 
 def anchors(data: np.ndarray, off: np.ndarray):
@@ -108,7 +108,7 @@ def front_decoded(shared: np.ndarray, rest: np.ndarray, width: int) -> np.ndarra
 
 def _ranges(spark) -> int:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return 1 << min(16, max(4, (4 * parts - 1).bit_length()))
+    return 1 << min(16, max(4, (8 * parts - 1).bit_length()))
 
 
 def _by_range(batches, close):
@@ -157,7 +157,7 @@ def _shared_anchors(docs: DataFrame, ranges: int) -> DataFrame:
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, last, data, off in tx.blocks(batch.column(1)):
+            for first, last, data, off in tx.blocks(batch.column(1), BLOCK):
                 starts, where, h = anchors(data, off)
                 if not len(starts):
                     continue
@@ -247,7 +247,7 @@ def _marks(docs: DataFrame, shared: DataFrame, ranges: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             places = batch.column(2)
-            for first, last, data, off in tx.blocks(batch.column(1)):
+            for first, last, data, off in tx.blocks(batch.column(1), BLOCK):
                 got = _suffixes(data, off, [places[i].values.to_numpy() for i in range(first, last)])
                 if got is None:
                     continue
