@@ -249,8 +249,9 @@ def draws(spark: SparkSession, num: int, columns: dict[str, Fitted], seed: int =
 def uniform_rows(spark: SparkSession, num: int, names: list[str], seed: int) -> DataFrame:
     """Rows (oid, _r_<name>) of independent uniforms.
 
-    The number of partitions depends on ``num`` alone, so the same seed gives the same rows anywhere.
+    Each value is a hash of seed, name and oid, so it depends on nothing else, and Spark deals the rows
+    out as it likes.
     """
-    parts = max(1, math.ceil(num / 1_000_000)) if num > 100_000 else 8
-    rows = spark.range(0, num, 1, parts).withColumnRenamed("id", "oid")
-    return rows.select("oid", *[F.rand(seed * 1000 + k).alias(f"_r_{c}") for k, c in enumerate(names)])
+    rows = spark.range(num).withColumnRenamed("id", "oid")
+    uniform = lambda c: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(c), "oid"), 11) / float(1 << 53)
+    return rows.select("oid", *[uniform(c).alias(f"_r_{c}") for c in names])

@@ -120,3 +120,17 @@ def test_distance_search_is_fine_enough(spark):
         assert np.abs(fast - moid._solve(*rows)).max() < 1e-9
     finally:
         moid.GRID = old
+
+
+def test_uniforms_are_independent_of_each_other_and_of_partitions(spark):
+    from orbitsieve.operators.distributions import uniform_rows
+
+    names = ["a", "e", "i"]
+    rows = uniform_rows(spark, 120_000, names, 7)
+    assert rows.rdd.getNumPartitions() > 1
+    pdf = rows.toPandas().set_index("oid").sort_index()
+    assert len(set(pdf.to_numpy().reshape(-1).tolist())) == 360_000
+    assert abs(pdf.corr().to_numpy() - [[1, 0, 0], [0, 1, 0], [0, 0, 1]]).max() < 0.02
+    assert ((pdf >= 0) & (pdf < 1)).all().all()
+    again = uniform_rows(spark, 1_000, names, 7).repartition(3).toPandas().set_index("oid").sort_index()
+    assert (again == pdf.loc[:999]).all().all()
