@@ -15,11 +15,13 @@ are judged one by one, repeated or not; ids don't matter.
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orbitsieve.scratch import written
 
 GROUP_MIN, SHARE, ROUNDS = 100, 0.75, 30
+#: Steps between looks at whether estimates still change or alternate; even, so that both are seen.
+LOOK = 2
 NAMES = ("x0", "x1", "x2", "x3")
 #: Least standard deviation of each entry, in thousandths.
 LEAST = (40, 150, 300, 300)
@@ -94,24 +96,28 @@ def chi_above(tail: float, half: int) -> float:
 def scaled(groups: DataFrame, factor: float) -> DataFrame:
     """``groups`` with w**, the inverse of the Cholesky factor of ``factor`` times the covariance c**, to
     which the least variances are added; built up column by column, once per group."""
-    p = len(NAMES)
+    p, names = len(NAMES), list(groups.columns)
+    # a row travels as an array of one struct: each step binds it to a name, so nothing is multiplied out
+    row = f"array(struct({', '.join(names)}))"
 
-    def held(df, new):
-        # a row of one array keeps the optimizer from multiplying the expressions out
-        return df.selectExpr("*", *(f"{v} AS {k}" for k, v in new.items())).select(F.inline(F.array(F.struct("*"))))
+    def held(new):
+        nonlocal row
+        fields = [f"'{k}', x.{k}" for k in names] + [f"'{k}', {v}" for k, v in new.items()]
+        row = f"transform({row}, x -> named_struct({', '.join(fields)}))"
+        names.extend(new)
 
     def rest(i, j):
-        less = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
-        return f"({factor!r}D * c{i}{j} + {LEAST[i] ** 2 if i == j else 0}D{less})"
+        less = "".join(f" - x.l{i}{k} * x.l{j}{k}" for k in range(j))
+        return f"({factor!r}D * x.c{i}{j} + {LEAST[i] ** 2 if i == j else 0}D{less})"
 
     for j in range(p):  # column j of the factor, then row i of its inverse
-        groups = held(groups, {f"l{j}{j}": f"sqrt(greatest({rest(j, j)}, 1D))"})
+        held({f"l{j}{j}": f"sqrt(greatest({rest(j, j)}, 1D))"})
         if j + 1 < p:
-            groups = held(groups, {f"l{i}{j}": f"{rest(i, j)} / l{j}{j}" for i in range(j + 1, p)})
+            held({f"l{i}{j}": f"{rest(i, j)} / x.l{j}{j}" for i in range(j + 1, p)})
     for i in range(p):
-        less = lambda j, i=i: "".join(f" - l{i}{k} * w{k}{j}" for k in range(j, i))
-        groups = held(groups, {f"w{i}{j}": f"({1 if i == j else 0}D{less(j)}) / l{i}{i}" for j in range(i + 1)})
-    return groups.drop(*(f"l{i}{j}" for i in range(p) for j in range(i + 1)))
+        less = lambda j, i=i: "".join(f" - x.l{i}{k} * x.w{k}{j}" for k in range(j, i))
+        held({f"w{i}{j}": f"({1 if i == j else 0}D{less(j)}) / x.l{i}{i}" for j in range(i + 1)})
+    return groups.selectExpr(f"inline({row})").drop(*(f"l{i}{j}" for i in range(p) for j in range(i + 1)))
 
 
 def squared_distance() -> str:
@@ -121,41 +127,57 @@ def squared_distance() -> str:
 
 
 def _moments(rows: DataFrame) -> DataFrame:
+    """Means m* and covariances c** per group; ``rows`` stand for ``n`` texts each or are sums of them."""
     p = range(len(NAMES))
     both = [(i, j) for i in p for j in range(i + 1)]
-    sums = [f"CAST(sum(CAST({NAMES[i]} AS DECIMAL(38,0))) AS DOUBLE) AS s{i}" for i in p]
-    sums += [f"CAST(sum(CAST({NAMES[i]} * {NAMES[j]} AS DECIMAL(38,0))) AS DOUBLE) AS s{i}{j}" for i, j in both]
-    moments = rows.groupBy("group").agg(F.expr("count(*) AS n"), *map(F.expr, sums))
+    total = lambda x: f"CAST(sum({x}) AS DOUBLE) AS {x}"
+    moments = rows.groupBy("group").agg(F.expr("sum(n) AS n"), *(F.expr(total(f"s{i}")) for i in p), *(F.expr(total(f"s{i}{j}")) for i, j in both))
     return moments.selectExpr(
         "group", "n", *(f"s{i} / n AS m{i}" for i in p), *(f"s{i}{j} / n - s{i} / n * s{j} / n AS c{i}{j}" for i, j in both)
     )
 
 
+def _concentrated(rows: DataFrame, now: DataFrame) -> DataFrame:
+    """One step: moments of the ``SHARE`` of each group's texts nearest to its estimates. Rows are summed
+    by steps of the distance in their tasks, so only those sums are shuffled and ranked."""
+    p = range(len(NAMES))
+    weight = "CAST(n AS DECIMAL(19,0))"
+    sums = [f"sum(CAST({NAMES[i]} AS DECIMAL(18,0)) * {weight}) AS s{i}" for i in p]
+    sums += [f"sum(CAST({NAMES[i]} * {NAMES[j]} AS DECIMAL(18,0)) * {weight}) AS s{i}{j}" for i in p for j in range(i + 1)]
+    near = rows.join(now.drop("n"), "group").select("group", "n", *NAMES, F.expr(f"floor(64 * log1p({squared_distance()}))").alias("far"))
+    steps = near.groupBy("group", "far").agg(F.expr("sum(n) AS n"), *map(F.expr, sums))
+    whole = Window.partitionBy("group")
+    before = F.coalesce(F.sum("n").over(whole.orderBy("far").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = steps.select("*", before.alias("_before"), F.sum("n").over(whole).alias("_all"))
+    return _moments(ranked.where(f"_before <= floor({SHARE} * (_all - 1))"))
+
+
 def estimates(stats: DataFrame) -> DataFrame:
-    """(group, n, m*, c**) of each group with enough rows; see ``groups`` for their names."""
-    rows = written(
-        stats.where("not base_failed").select(*vector(), F.explode(F.array(*groups())).alias("group")), "vectors"
-    )
-    sizes = rows.groupBy("group").count().where((F.col("count") >= GROUP_MIN) | (F.col("group") == "all")).select("group")
+    """(group, n, m*, c**) of each group with enough rows; see ``groups`` for their names.
+
+    Equal vectors of a group are counted once, before anything is shuffled, and stay together with their
+    count ``n``; a rounded vector has few values, so the steps read far fewer rows than there are texts."""
+    rows = stats.where("not base_failed").select(*vector(), F.explode(F.array(*groups())).alias("group"))
+    rows = written(rows.groupBy("group", *NAMES).agg(F.count("*").alias("n")), "vectors")
+    sizes = rows.groupBy("group").agg(F.sum("n").alias("count")).where((F.col("count") >= GROUP_MIN) | (F.col("group") == "all")).select("group")
     rows = written(rows.join(sizes, "group"), "vectors")
-    middle = rows.groupBy("group").agg(*(F.expr(f"percentile({x}, 0.5)").alias(f"m{i}") for i, x in enumerate(NAMES)))
+    middle = rows.groupBy("group").agg(*(F.expr(f"percentile({x}, 0.5, n)").alias(f"m{i}") for i, x in enumerate(NAMES)))
     spread = rows.join(middle, "group").groupBy("group").agg(
-        *(F.expr(f"percentile(abs({x} - m{i}), 0.5)").alias(f"d{i}") for i, x in enumerate(NAMES))
+        *(F.expr(f"percentile(abs({x} - m{i}), 0.5, n)").alias(f"d{i}") for i, x in enumerate(NAMES))
     )
     p = range(len(NAMES))
     start = middle.join(spread, "group").select(
         "group", *(f"m{i}" for i in p),
         *(((1.4826 * F.col(f"d{i}")) ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in p for j in p if j <= i),
     )
-    now, mark = written(scaled(start, 1.0), "estimates"), None
-    for _ in range(ROUNDS):
-        near = rows.join(now, "group").select("group", *NAMES, F.expr(f"floor(64 * log1p({squared_distance()}))").alias("far"))
-        cut = near.groupBy("group").agg(F.expr(f"percentile(far, {SHARE})").alias("cut"))
-        now = written(scaled(_moments(near.join(cut, "group").where("far <= cut")), 1.0), "estimates")
-        seen = now.agg(F.sum(F.xxhash64("group", "n", "m0", "m1", "m2", "m3").cast("decimal(38,0)"))).first()[0]
-        if seen == mark:
-            break
-        mark = seen
+    now, mark = written(scaled(start, 1.0).withColumn("n", F.lit(0)), "estimates"), None
+    for step in range(ROUNDS):
+        now = written(scaled(_concentrated(rows, now), 1.0), "estimates")
+        if step % LOOK == LOOK - 1:  # what came back to a state two steps ago stays with it
+            seen = now.agg(F.sum(F.xxhash64("group", "n", "m0", "m1", "m2", "m3").cast("decimal(38,0)"))).first()[0]
+            if seen == mark:
+                break
+            mark = seen
     return now.drop(*(f"w{i}{j}" for i in p for j in range(i + 1)))
 
 
