@@ -159,9 +159,10 @@ def estimates(stats: DataFrame) -> DataFrame:
     count ``n``; a rounded vector has few values, so the steps read far fewer rows than there are texts."""
     rows = stats.where("not base_failed").select(*vector(), F.explode(F.array(*groups())).alias("group"))
     rows = written(rows.groupBy("group", *NAMES).agg(F.count("*").alias("n")), "vectors")
+    # tables of groups are written, so that their true size decides how the vectors are joined to them
     sizes = rows.groupBy("group").agg(F.sum("n").alias("count")).where((F.col("count") >= GROUP_MIN) | (F.col("group") == "all")).select("group")
-    rows = written(rows.join(sizes, "group"), "vectors")
-    middle = rows.groupBy("group").agg(*(F.expr(f"percentile({x}, 0.5, n)").alias(f"m{i}") for i, x in enumerate(NAMES)))
+    rows = written(rows.join(written(sizes, "sizes"), "group"), "vectors")
+    middle = written(rows.groupBy("group").agg(*(F.expr(f"percentile({x}, 0.5, n)").alias(f"m{i}") for i, x in enumerate(NAMES))), "middle")
     spread = rows.join(middle, "group").groupBy("group").agg(
         *(F.expr(f"percentile(abs({x} - m{i}), 0.5, n)").alias(f"d{i}") for i, x in enumerate(NAMES))
     )
