@@ -33,6 +33,7 @@ LENGTH, GRAM = 50, 24
 SIDE = LENGTH - GRAM
 WIDTH = 80  # anchor's gram, what follows, what precedes (turned), how much of both; padded to words
 PART, BLOCK = 6 << 20, 1 << 18
+SIEVE = np.uint64(16)  # low bits of a fingerprint that the sieve leaves out; what it lets through is compared in full
 
 
 def anchors(data: np.ndarray, off: np.ndarray):
@@ -125,11 +126,11 @@ def _by_range(batches, close):
         yield from close(held)
 
 
-def _lists(doc, *columns):
+def _lists(doc, *columns, kind=pa.int64()):
     """Arrow arrays: distinct doc and, for each column, the list of its values; doc is sorted."""
     starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
     at = pa.array(np.append(starts, len(doc)), pa.int32())
-    return [pa.array(doc[starts])] + [pa.ListArray.from_arrays(at, pa.array(c, pa.int64())) for c in columns]
+    return [pa.array(doc[starts])] + [pa.ListArray.from_arrays(at, pa.array(c, kind)) for c in columns]
 
 
 def _shared_anchors(docs: DataFrame, ranges: int) -> DataFrame:
@@ -148,7 +149,7 @@ def _shared_anchors(docs: DataFrame, ranges: int) -> DataFrame:
             for r in range(ranges):
                 a, b = cut[r], cut[r + 1]
                 if b > a:
-                    step = np.diff(h[a:b], prepend=np.uint64(0))
+                    step = np.diff(h[a:b] >> SIEVE, prepend=np.uint64(0))
                     out.append((r, int(b - a), _planes(step, 8), _planes(doc[a:b], 8), _planes(pos[a:b].astype(np.uint32), 4)))
             return pa.record_batch(
                 [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
@@ -184,14 +185,14 @@ def _shared_anchors(docs: DataFrame, ranges: int) -> DataFrame:
             keep = np.repeat(several, np.diff(np.append(starts, len(h))))
             doc, pos = doc[keep], pos[keep]
             order = np.argsort(doc, kind="stable")
-            yield pa.record_batch(_lists(doc[order], pos[order].astype(np.int64)), ["doc_id", "places"])
+            yield pa.record_batch(_lists(doc[order], pos[order].astype(np.int32), kind=pa.int32()), ["doc_id", "places"])
 
         yield from _by_range(batches, close)
 
     return (
         docs.mapInArrow(runs, "range long, n long, h binary, doc binary, pos binary")
         .repartition("range").sortWithinPartitions("range")
-        .mapInArrow(common, "doc_id long, places array<long>")
+        .mapInArrow(common, "doc_id long, places array<int>")
         .groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))
     )
 
@@ -294,7 +295,7 @@ def _marks(docs: DataFrame, shared: DataFrame, ranges: int) -> DataFrame:
             _, far = np.nonzero(edge == -1)
             start, end = at[row] - (far - 1), at[row] - near + LENGTH
             order = np.argsort(doc[row], kind="stable")
-            yield pa.record_batch(_lists(doc[row][order], start[order], end[order]), ["doc_id", "starts", "ends"])
+            yield pa.record_batch(_lists(doc[row][order], start[order], end[order], kind=pa.int32()), ["doc_id", "starts", "ends"])
 
         yield from _by_range(batches, close)
 
@@ -302,7 +303,7 @@ def _marks(docs: DataFrame, shared: DataFrame, ranges: int) -> DataFrame:
         docs.join(shared, "doc_id").select("doc_id", "text", "places")
         .mapInArrow(runs, "range long, n long, size long, lcp binary, rest binary, doc binary, pos binary")
         .repartition("range").sortWithinPartitions("range")
-        .mapInArrow(marked, "doc_id long, starts array<long>, ends array<long>")
+        .mapInArrow(marked, "doc_id long, starts array<int>, ends array<int>")
         .groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     )
 
