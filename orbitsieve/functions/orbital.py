@@ -48,8 +48,18 @@ def orbit_point(t, a="a", e="e", i="i", w="w", om="om") -> Column:
     )
 
 
-# The same point reached by turning the flat orbit about the node line and the z axis.
-orbit_point_rotation = orbit_point
+def orbit_point_rotation(t, a="a", e="e", i="i", w="w", om="om") -> Column:
+    """The same point by turning the flat orbit about the node line, then about the z axis."""
+    r = orbit_radius(t, a, e)
+    u = _c(t) + F.radians(_c(w))
+    flat_x, flat_y = r * F.cos(u), r * F.sin(u)
+    node, tilt = F.radians(_c(om)), F.radians(_c(i))
+    y, z = flat_y * F.cos(tilt), flat_y * F.sin(tilt)
+    return F.struct(
+        (flat_x * F.cos(node) - y * F.sin(node)).alias("x"),
+        (flat_x * F.sin(node) + y * F.cos(node)).alias("y"),
+        z.alias("z"),
+    )
 
 
 def earth_point(t) -> Column:

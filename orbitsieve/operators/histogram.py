@@ -20,6 +20,8 @@ def hist_table(df: DataFrame, cols: list[str], n: int = 50) -> DataFrame:
         if lo is None or not 0 < hi > lo:
             raise ValueError(f"column {c} needs different values up to a positive maximum")
         nb = int(hi * n / (hi - lo)) - 1
+        if nb < 1:
+            raise ValueError(f"column {c} reaches so far below 0 that {n} leaves no bin above it")
         width = hi / nb
         slot = F.least(F.floor(F.col(c) / width), F.lit(nb - 1)).cast("int")
         parts.append(F.when(F.col(c) >= 0, F.struct(F.lit(c).alias("name"), slot.alias("bin"))))

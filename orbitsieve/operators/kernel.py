@@ -17,6 +17,7 @@ no key is hot because counting starts before the shuffle.
 """
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -269,16 +270,25 @@ def on_columns(est: Estimator, cols: list[str], label: str = "label") -> Estimat
 
 
 class ColumnModel:
-    """A fitted model with the columns and bounds it was trained on."""
+    """A fitted model with the columns and bounds it was trained on.
 
-    def __init__(self, model: Model, cols: list[str], scales: Scales):
+    ``classes`` names the predicted values if the model counts them from 0. A row with an unknown
+    (NULL or NaN) column gets no prediction, whatever the model.
+    """
+
+    def __init__(self, model: Model, cols: list[str], scales: Scales, classes: list[int] | None = None):
         self.model, self.cols, self.scales = model, cols, {c: scales[c] for c in cols}
+        self.classes = classes
 
     def predict_unit(self, df: DataFrame) -> DataFrame:
         """Add ``prediction`` to a frame whose columns are already normalised."""
         extra = {"features", "rawPrediction", "probability"} - set(df.columns)
         out = self.model.transform(df).drop(*extra)
-        return out.withColumn("prediction", F.col("prediction").cast("int"))
+        found = F.col("prediction").cast("int")
+        if self.classes is not None:
+            found = F.get(F.array(*(F.lit(c) for c in self.classes)), found)
+        unknown = reduce(lambda a, b: a | b, (F.col(c).isNull() | F.isnan(c) for c in self.cols))
+        return out.withColumn("prediction", F.when(~unknown, found))
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``prediction`` to a frame in physical units."""

@@ -8,6 +8,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..schema import nan_to_null
+
 Scales = dict[str, tuple[float, float]]
 
 
@@ -20,8 +22,8 @@ def _tagged_union(datasets: list[DataFrame], cols: list[str]) -> DataFrame:
 
 
 def param_bounds(df: DataFrame, cols: list[str]) -> DataFrame:
-    """One row: smallest and largest value of each column."""
-    return df.agg(
+    """One row: smallest and largest known value of each column."""
+    return nan_to_null(df.select(*dict.fromkeys(cols))).agg(
         *[f(c).alias(f"{c}_{n}") for c in cols for n, f in (("min", F.min), ("max", F.max))]
     )
 

@@ -106,6 +106,19 @@ def _extended_by_class(df, factor):
     return parts[0].unionByName(parts[1])
 
 
+def _within(domain: int):
+    return F.coalesce(F.col("q") <= DOMAIN_1_Q_LIMIT, F.lit(False)) if domain == 1 else F.lit(True)
+
+
 def prepared(df, domain: int):
     """Rows of a domain as its stages expect them."""
-    return filters.split_by_colval(df, "q", DOMAIN_1_Q_LIMIT).filter("side = 'left'").drop("side") if domain == 1 else df
+    return df.filter(_within(domain))
+
+
+def set_aside(df, domain: int):
+    """Rows of a domain that no stage sees, as the cascade leaves rows behind: in no group, not
+    extracted, one row each. They count in the totals of the domain and of the origin."""
+    none = F.lit(None).cast("string")
+    return df.filter(~_within(domain)).withColumns(
+        {"grp": none, "first_tag": F.lit(True), "stage": none, "extracted": F.lit(False)}
+    )

@@ -47,10 +47,12 @@ def mine_domain(
     """Extract the hazardous regions of one domain from labelled virtual and real rows.
 
     Returns the rows with ``extracted`` and ``stage``, the summary and the models. All of domain 4 is
-    its region.
+    its region. Group figures of the summary are shares of the rows that the stages see; figures of
+    the domain and of an origin are shares of all rows of the domain.
     """
-    df = domains.prepared(rows, domain).withColumn("domain", F.lit(domain))
-    out, models = cascade.run_cascade(df, domains.flows(domain, features))
+    df = rows.withColumn("domain", F.lit(domain))
+    out, models = cascade.run_cascade(domains.prepared(df, domain), domains.flows(domain, features))
+    out = out.unionByName(domains.set_aside(df, domain))
     if domain == 4:
         out = out.withColumns({"extracted": F.lit(True), "stage": F.lit("4-all")})
     return out, quality.summary(out), models

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from orbitsieve.operators import cascade, clusters, crossval, filters, grids, kernel, quality, scaling
 from orbitsieve.operators.cascade import Flow, Stage
-from orbitsieve.plans import domains
+from orbitsieve.plans import domains, flows
 
 
 def labelled(orbit_rows):
@@ -140,3 +140,37 @@ def test_cascade_result_is_put_together_without_a_join(orbit_rows):
     assert "Join" not in plan
     assert out.count() == quality.tagged_for_summary(df).count()
     assert out.filter("extracted and q <= 0.3").isEmpty()
+
+
+def test_reports_of_domain_1_divide_by_all_its_rows(orbit_rows, monkeypatch):
+    df = labelled(orbit_rows).withColumn("origin", F.when(F.col("oid") % 2 == 0, "gen").otherwise("real"))
+    # an orbit beyond the limit that counts as hazardous makes the totals differ
+    df = df.withColumn("label", F.when(F.col("q") > 1.2, 1).otherwise(F.col("label")))
+    monkeypatch.setattr(domains, "flows", lambda domain, features: [Flow(("apollo",), [small_stage("one", ["w", "q"])])])
+    out, report, _ = flows.mine_domain(df, 1)
+    assert out.select("oid").distinct().count() == df.select("oid").distinct().count()
+    assert out.filter("q > 1.066 and (extracted or grp is not null)").isEmpty()
+    total = {r["origin"]: r["n"] for r in df.filter("label = 1").groupBy("origin").agg(F.count("*").alias("n")).collect()}
+    seen = {(r["origin"], r["grp"]): r["n"] for r in out.filter("label = 1 and grp is not null").groupBy("origin", "grp").agg(F.count("*").alias("n")).collect()}
+    assert df.filter("q > 1.066 and label = 1").count() > 0
+    for r in report.collect():
+        whole = seen[r["origin"], r["grp"]] if r["level"] == 0 and r["pha_fraction"] is not None else total[r["origin"]]
+        if r["pha_fraction"] is not None:
+            assert abs(r["pha_fraction"] - r["extracted_pha"] / whole) < 1e-12
+
+
+def test_classify_by_many_clusters_and_unknown_features(orbit_rows):
+    df = labelled(orbit_rows).limit(3000)
+    parts = df.withColumn("cluster_id", 10 + F.floor(F.col("w") / 2.4).cast("int"))  # 150 ids
+    est = RandomForestClassifier(numTrees=3, maxDepth=8, seed=1)
+    some = df.withColumn("w", F.when(F.col("oid") % 3 != 0, F.col("w")))
+    rows, _, model = clusters.classify_by_cluster(parts, est, ["w", "q"], some)
+    assert rows.filter("w is null and cluster_id is not null").isEmpty()
+    known = rows.filter("w is not null")
+    assert known.filter("cluster_id not between 10 and 159").isEmpty() and known.filter("cluster_id is null").isEmpty()
+    assert max(model.classes) > 100
+
+
+def test_bounds_leave_out_nan(spark):
+    rows = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (None,)], "x double")
+    assert scaling.bounds(rows, ["x"]) == {"x": (1.0, 3.0)}
