@@ -1,9 +1,12 @@
-"""Removal of repeated multi-line chunks whose boundaries follow the content.
+"""Removal of repeated multi-line passages by chunks of lines whose ends follow the content.
 
-A rolling hash over the hashes of ``WINDOW`` lines ends a chunk after about every ``MEAN``-th line, so an
-inserted line only moves boundaries near it. Chunks of at least two lines and ``MIN_WORDS`` words that
-occur again anywhere are compared by their bytes; the first (smallest doc_id, then place) stays, and
-every other one goes, each line with the newline that ends it.
+A chunk opens at every line and ends with the first line at which it has two lines and ``MIN_WORDS`` words;
+likewise one ends at every line and opens as late as that allows. Both depend on the chunk's own lines
+only, so a passage is cut alike wherever it stands, and these chunks cover every line of every passage of at least
+two lines (blank ones count) and ``MIN_WORDS`` words. Chunks that occur again anywhere are compared by their bytes, without
+the newline at the end; the first (smallest doc_id, then place) stays and every other one goes, each line
+with the newline that ends it. As chunks overlap, a repeated passage goes as a whole, and a line goes if one of its
+chunks was there before; the first place of a line's text therefore always stays.
 
 A null or empty text has no chunks and stays as it is. Rows are told apart by id and text; equal rows
 lose the same chunks. Rows with a null id stay whole. Other columns pass through.
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from orbitsieve.llm import text as tx
 from orbitsieve.scratch import written
 
-WINDOW, MEAN, MIN_WORDS = 2, 4, 6
+MIN_LINES, MIN_WORDS = 2, 6
 
 
 def chunks(data: np.ndarray, off: np.ndarray):
@@ -28,26 +31,25 @@ def chunks(data: np.ndarray, off: np.ndarray):
         return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
     sums = tx.prefix_sums(data)
     bare = ends - (data[ends - 1] == 10)  # a line looks alike with and without its newline
-    h = tx.span_hashes(sums, starts, bare)
     of = np.searchsorted(off, starts, side="right") - 1
-    rolling = h.copy()
-    for back in range(1, WINDOW):
-        same = of[back:] == of[:-back]
-        rolling[back:] += np.where(same, tx.mix(h[:-back] + np.uint64(back)), np.uint64(0))
-    last = tx.mix(rolling) % np.uint64(MEAN) == 0
-    last |= np.concatenate([of[1:] != of[:-1], [True]])
-    stop = np.flatnonzero(last)
-    first = np.concatenate([[0], stop[:-1] + 1])
     opens, _, _ = tx.word_spans(data, off)
-    a, b = starts[first], ends[stop]
-    words = np.searchsorted(opens, b) - np.searchsorted(opens, a)
-    keep = (stop > first) & (words >= MIN_WORDS)
-    a, b, of = a[keep], b[keep], of[first][keep]
-    return of, a - off[of], b - off[of], tx.span_hashes(sums, a, b)
+    n, before = len(ends), np.searchsorted(opens, np.append(starts, len(data)))  # words before each line
+    line = np.arange(n)
+    until = np.maximum(line + MIN_LINES - 1, np.searchsorted(before, before[:-1] + MIN_WORDS) - 1)
+    since = np.minimum(line - MIN_LINES + 1, np.searchsorted(before, before[1:] - MIN_WORDS, side="right") - 1)
+    first, last = np.concatenate([line, since]), np.concatenate([until, line])
+    keep = (first >= 0) & (last < n)
+    first, last = first[keep], last[keep]
+    first, last = np.divmod(np.unique(first * n + last), n)
+    keep = of[first] == of[last]
+    first, last = first[keep], last[keep]
+    a, b, of = starts[first], ends[last], of[first]
+    return of, a - off[of], b - off[of], tx.span_hashes(sums, a, bare[last])
 
 
 def remove_chunks(docs: DataFrame) -> DataFrame:
-    """The input's columns with ``text`` after removal, and n_lines, n_removed_lines, n_removed_chunks."""
+    """The input's columns with ``text`` after removal, and n_lines, n_removed_lines, n_removed_chunks (runs of
+    removed lines)."""
     tx.small_batches(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("mark")).where(
         F.col("doc_id").isNotNull() & F.col("text").contains("\n")
@@ -77,7 +79,7 @@ def remove_chunks(docs: DataFrame) -> DataFrame:
             for doc, mark, t, parts in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = t.encode()
                 for p in parts:
-                    for col, x in zip(out, (p["hash"], raw[p["start"] : p["end"]], doc, mark, p["start"], p["end"])):
+                    for col, x in zip(out, (p["hash"], raw[p["start"] : p["end"]].removesuffix(b"\n"), doc, mark, p["start"], p["end"])):
                         col.append(x)
             kinds = (pa.int64(), pa.binary(), *[pa.int64()] * 4)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], ["hash", "chunk", "doc_id", "mark", "start", "end"])
@@ -100,17 +102,21 @@ def remove_chunks(docs: DataFrame) -> DataFrame:
         for batch in batches:
             kept, lines, removed, pieces = [], [], [], []
             for t, spans in zip(*(c.to_pylist() for c in batch.columns[-2:])):
-                raw, at, out, less = (t or "").encode(), 0, [], 0
+                raw, at, out, less, runs = (t or "").encode(), 0, [], 0, 0
                 for s in spans or []:
-                    out.append(raw[at : s["start"]])
-                    part = raw[s["start"] : s["end"]]
+                    if s["end"] <= at:
+                        continue
+                    start = max(s["start"], at)
+                    runs += not less or s["start"] > at
+                    out.append(raw[at:start])
+                    part = raw[start : s["end"]]
                     less += part.count(b"\n") + (not part.endswith(b"\n"))
                     at = s["end"]
                 out.append(raw[at:])
                 kept.append(None if t is None else b"".join(out).decode())
                 lines.append(raw.count(b"\n") + bool(raw) - raw.endswith(b"\n"))
                 removed.append(less)
-                pieces.append(len(spans or []))
+                pieces.append(runs)
             yield pa.record_batch(
                 [*batch.columns[:-2], pa.array(kept, pa.string()), *(pa.array(x, pa.int64()) for x in (lines, removed, pieces))],
                 [*batch.schema.names[:-2], "text", "n_lines", "n_removed_lines", "n_removed_chunks"],

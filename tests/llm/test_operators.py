@@ -215,6 +215,26 @@ def test_line_chunks(spark):
         assert got[i]["n_removed_lines"] >= 8 and got[i]["n_lines"] - got[i]["n_removed_lines"] == len(kept)
 
 
+def test_line_chunks_take_whole_passages(spark):
+    """Short passages in the middle, at the end and with short or blank lines go with their edges."""
+    rng = random.Random(4)
+    line = lambda n=18: " ".join(words(rng, n))
+    passages = [[line() for _ in range(n)] for n in range(3, 9)] + [[line(), "", "a b", line(), "c", "d"], ["e f", "g", line()]]
+    rows, own = [], []
+    for i, p in enumerate(passages):
+        for end in ([], [line() for _ in range(3)]):  # with no newline behind it, and in the middle
+            own.append([[line() for _ in range(2)], p, end])
+    for i, (a, p, z) in enumerate(own):
+        rows.append((i, "\n".join(a + p + z)))
+    got = {r["doc_id"]: r for r in line_chunks.remove_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (a, p, z) in enumerate(own):
+        if i % 2:
+            assert got[i]["text"] == "\n".join(a + z)
+            assert (got[i]["n_removed_lines"], got[i]["n_removed_chunks"]) == (len(p), 1)
+        else:
+            assert got[i]["text"] == rows[i][1]
+
+
 def test_compact_windows(docs):
     got = {r["doc_id"]: r for r in compact_windows.repeated_passages(docs).collect()}
     rows = {i: t for i, t, *_ in sample()}
