@@ -26,9 +26,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles at 0.8, the smallest id stays."""
-    first = jaccard_join.link_documents(docs, 5, 80).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(first, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """Of each group of documents linked by five-word shingles at 0.8, the smallest id stays, and of rows
+    with the same id and text, one. A row without an id goes if its words are those of a row with one."""
+    linked = written(jaccard_join.link_rows(docs, 5, 80), "linked")
+    gone = F.coalesce(F.col("doc_id") != F.col("component_id"), F.col("component_id").isNotNull())
+    rows = linked.where("n_shingles > 0").groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.max(gone).alias("_gone"), F.count("*").alias("_n"))
+    rows = written(rows.where("_gone or _n > 1"), "repeats")
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_mark"))
+    once = docs.join(rows, here, "left_anti")
+    return once.union(docs.join(rows.where("not _gone"), here, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@
 No step lists all pairs of a long list, and no link between different sets is lost.
 
 Ids are expected to be unique. Rows with the same id count as one node with several texts. A null id
-gets its own row with a null component unless equal sets lend it one. Null, empty and blank texts
+gets its own row with a null component unless an equal set with an id lends it one. Null, empty and blank texts
 are empty sets and link with nothing. Other columns are ignored.
 """
 
@@ -81,7 +81,7 @@ def shingle_ranks(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _signature(docs: DataFrame, k: int, percent: int, ranks) -> DataFrame:
-    """Per row: set size, signature, its rarest elements and what scanning their lists would cost."""
+    """Per row: hash of the text, set size, signature, its rarest elements and what scanning their lists would cost."""
 
     def rows(batches):
         order = ranks.value
@@ -112,12 +112,12 @@ def _signature(docs: DataFrame, k: int, percent: int, ranks) -> DataFrame:
             yield pa.record_batch(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(tx.signed(np.array(s1, np.uint64))),
                  pa.array(tx.signed(np.array(s2, np.uint64))), tx.packed(keys), pa.array(cost, pa.float64()),
-                 pa.array(common, pa.int64())],
-                ["doc_id", "n", "s1", "s2", "keys", "cost", "common"],
+                 pa.array(common, pa.int64()), batch.column(2)],
+                ["doc_id", "n", "s1", "s2", "keys", "cost", "common", "mark"],
             )
 
-    kinds = "doc_id long, n long, s1 long, s2 long, keys binary, cost double, common long"
-    return docs.select("doc_id", "text").mapInArrow(rows, kinds)
+    kinds = "doc_id long, n long, s1 long, s2 long, keys binary, cost double, common long, mark long"
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(rows, kinds)
 
 
 def boundary(sets: DataFrame) -> int:
@@ -300,7 +300,12 @@ def _compared(pairs: DataFrame, docs: DataFrame, k: int, percent: int, ranks) ->
 
 
 def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id.
+    """``link_rows`` without ``mark``."""
+    return link_rows(docs, k, percent).drop("mark")
+
+
+def link_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, mark (xxhash64 of the text).
 
     Sets of ``k``-word shingles (A-Z lower-cased) link when 100 * |x & y| >= percent * |x | y|, with
     ``percent`` from 51 to 100. ``component_id`` is the smallest doc_id reachable over links.
@@ -312,7 +317,7 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     ranks = spark.sparkContext.broadcast(shingle_ranks(docs, k))
     rows = written(_signature(docs, k, percent, ranks), "sets")
     sets = written(
-        rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "keys", "cost", "common")).alias("x"))
+        rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "keys", "cost", "common")).alias("x"))
         .select("n", "s1", "s2", F.col("x.doc_id").alias("node"), "x.keys", "x.cost", "x.common"),
         "sets",
     )
@@ -329,5 +334,5 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     members = rows.join(sets.select("n", "s1", "s2", "node"), ["n", "s1", "s2"], "left")
     members = members.join(components(edges), "node", "left")
     return members.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"), "mark"
     )

@@ -114,6 +114,20 @@ def test_jaccard_join_of_a_long_list(spark):
     assert got == root
 
 
+def test_links_of_equal_texts_with_and_without_id(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    w = words(rng, 80)
+    near, other, lone = " ".join(w[:-1] + ["z"]), " ".join(words(rng, 40)), " ".join(words(rng, 40))
+    rows = [(None, " ".join(w)), (7, " ".join(w)), (3, " ".join(w).upper()), (5, near), (9, other), (9, other), (None, lone), (None, lone), (None, ""), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(jaccard_join.link_documents(df, 5, 80).select("doc_id", "component_id").collect(), key=str)
+    assert got == sorted([(None, 3), (7, 3), (3, 3), (5, 3), (9, 9), (9, 9)] + [(None, None)] * 4, key=str)
+    kept = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    assert sorted(kept, key=str) == sorted([rows[2], rows[4], rows[6], (None, ""), (None, "")], key=str)
+
+
 def test_language_on_held_out_rows(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     got = QUERIES["op2_language"](spark, sf).join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
