@@ -5,9 +5,14 @@ backslash escapes, base64, zlib or gzip below base64) become new layers until no
 document hasn't seen, so cycles end. A find in a layer is mapped back: to its own characters through
 escapes, to the whole run through base64 and compression.
 
+Base64 is decoded run by run, and lines of equal width that follow each other also as one. Whatever decodes is a
+layer: UTF-8 with bad bytes replaced and, if there are zero bytes, UTF-16 of both orders; the rules
+decide. Compressed data is unpacked until no header is left, and unpacked data of more than
+``PIECE`` bytes is scanned in pieces that overlap by ``OVERLAP``, which bounds a task's memory; only a find
+or an encoded run longer than that can be cut between two pieces.
+
 Null and empty texts give no spans; repeated rows are scanned each on its own; a null id is kept;
-other columns are ignored. Compressed data that would unpack to more than ``MOST`` bytes is left
-packed, which bounds a task's memory.
+other columns are ignored.
 """
 
 import base64
@@ -15,6 +20,7 @@ import binascii
 import hashlib
 import re
 import zlib
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -22,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from orbitsieve.llm.text import small_batches
 
 KINDS = ("assign", "access", "hex")
-MOST = 16 << 20
+PIECE, OVERLAP = 16 << 20, 1 << 20
 # The patterns of the base kinds.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -36,6 +42,7 @@ _rules = {
     "percent": re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+"),
     "escape": re.compile(r"[^\s\\]*(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})[^\s\\]*)+"),
     "base64": re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"),
+    "wrapped": re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}"),
     "unit": re.compile(r"((?:%[0-9A-Fa-f]{2})+)|((?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+)"),
 }
 
@@ -87,32 +94,91 @@ def _unescaped(run: str):
     return "".join(out), spans
 
 
-def _unpacked(run: str) -> str | None:
-    """Text below a base64 run, unpacked if it is compressed; None if there is none."""
+def _packed(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0)
+
+
+def _steps(source):
+    """Bytes below one layer of compression, a step at a time; a broken stream gives what it held."""
+    unpack = None
+    for part in source:
+        full = False
+        while part or full:
+            if unpack is None:
+                unpack = zlib.decompressobj(wbits=47)
+            try:
+                out = unpack.decompress(part, PIECE)
+            except zlib.error:
+                return
+            if out:
+                yield out
+            if unpack.eof:  # another member may follow
+                part, full = unpack.unused_data, False
+                if not _packed(part):
+                    return
+                unpack = None
+            else:
+                part, full = unpack.unconsumed_tail, len(out) == PIECE
+
+
+def _pieces(raw: bytes):
+    """Pieces of what lies below all compression; each repeats the last ``OVERLAP`` bytes of the one before."""
+    source, head, seen = iter([raw]), raw, set()
+    while _packed(head) and (mark := hashlib.sha256(head).digest()) not in seen:
+        seen.add(mark)
+        below = _steps(source)
+        start = next(below, None)
+        if start is None:  # not compressed after all
+            source = iter([head])
+            break
+        while len(start) < 3 and (more := next(below, None)) is not None:
+            start += more
+        more = next(below, None)
+        source, head = iter([start]) if more is None else chain([start, more], below), start
+    held = b""
+    for part in source:
+        held += part
+        while len(held) > PIECE:
+            yield held[:PIECE]
+            held = held[PIECE - OVERLAP :]
+    if held:
+        yield held
+
+
+def _decoded(raw: bytes):
+    yield raw.decode("utf-8", "replace")
+    if 0 in raw:
+        yield raw.decode("utf-16-le", "replace")
+        yield raw.decode("utf-16-be", "replace")
+
+
+def _unpacked(run: str):
+    """Texts below a base64 run, unpacked if it is compressed."""
     core = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(core) % 4 == 1:
-        return None
+        return
     try:
         raw = base64.b64decode(core + "=" * (-len(core) % 4), validate=True)
     except (binascii.Error, ValueError):
-        return None
-    for _ in range(8):
-        if raw[:2] != b"\x1f\x8b" and not (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0):
-            break
-        unpack = zlib.decompressobj(wbits=47)
-        try:
-            out = unpack.decompress(raw, MOST)
-        except zlib.error:
-            break
-        if unpack.unconsumed_tail:
-            return None
-        raw = out
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    good = sum(c.isprintable() or c in "\t\r\n" for c in text)
-    return text if text and good == len(text) else None
+        return
+    for piece in _pieces(raw):
+        yield from _decoded(piece)
+
+
+def _wrapped(text: str):
+    """Lines of equal width that follow each other, and the shorter one behind them: joined, with their span."""
+    for m in _rules["wrapped"].finditer(text):
+        lines = [(x.start() + m.start(), x.end() + m.start(), x[0]) for x in re.finditer(r"[^\s]+", m[0])]
+        at = 0
+        while at < len(lines):
+            width, to = len(lines[at][2]), at + 1
+            while to < len(lines) and len(lines[to][2]) == width:
+                to += 1
+            if to < len(lines) and len(lines[to][2]) < width:
+                to += 1
+            if to - at > 1:
+                yield "".join(x for *_, x in lines[at:to]), (lines[at][0], lines[to - 1][1])
+            at = max(to, at + 1)
 
 
 def _inner(text: str):
@@ -126,31 +192,38 @@ def _inner(text: str):
             out, spans = _unescaped(m[0])
             yield "escape", out, [(a + m.start(), b + m.start()) for a, b in spans]
     for m in _rules["base64"].finditer(text):
-        out = _unpacked(m[0])
-        if out is not None:
+        for out in _unpacked(m[0]):
             yield "base64", out, m.span()
+    if "\n" in text:
+        for run, span in _wrapped(text):
+            for out in _unpacked(run):
+                yield "base64", out, span
 
 
 def scan_text(text: str | None):
     """(base spans, all spans, finds below layers) of one text."""
     text = text or ""
+    mark = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).digest()
     base = plain_spans(text)
-    deep, seen, work = [], {text}, [(text, None, "")]
+    deep, seen, work = [], set(), [(text, _inner(text), None, "")]
     while work:
-        layer, place, path = work.pop()
-        for kind, below, spans in _inner(layer):
-            if isinstance(spans, list) and place is not None:
-                spans = place if isinstance(place, tuple) else [(place[a][0], place[b - 1][1]) for a, b in spans]
-            elif isinstance(spans, tuple) and place is not None:
-                spans = place if isinstance(place, tuple) else (place[spans[0]][0], place[spans[1] - 1][1])
-            key = (below, spans if isinstance(spans, tuple) else (spans[0][0], spans[-1][1]))
-            if key in seen or below == layer:
-                continue
-            seen.add(key)
-            work.append((below, spans, f"{path}>{kind}"))
-            for found, a, b in plain_spans(below):
-                s, e = spans if isinstance(spans, tuple) else (spans[a][0], spans[b - 1][1])
-                deep.append((found, s, e, f"{path}>{kind}"[1:]))
+        layer, layers, place, path = work[-1]
+        kind, below, spans = next(layers, (None, None, None))
+        if kind is None:
+            work.pop()
+            continue
+        if isinstance(spans, list) and place is not None:
+            spans = place if isinstance(place, tuple) else [(place[a][0], place[b - 1][1]) for a, b in spans]
+        elif isinstance(spans, tuple) and place is not None:
+            spans = place if isinstance(place, tuple) else (place[spans[0]][0], place[spans[1] - 1][1])
+        key = (mark(below), spans if isinstance(spans, tuple) else (spans[0][0], spans[-1][1]))
+        if key in seen or below == layer:
+            continue
+        seen.add(key)
+        for found, a, b in plain_spans(below):
+            s, e = spans if isinstance(spans, tuple) else (spans[a][0], spans[b - 1][1])
+            deep.append((found, s, e, f"{path}>{kind}"[1:]))
+        work.append((below, _inner(below), spans, f"{path}>{kind}"))
     every = sorted({*base, *((k, a, b) for k, a, b, _ in deep)}, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
     return base, every, sorted(set(deep), key=lambda x: (x[1], KINDS.index(x[0]), x[2], x[3]))
 

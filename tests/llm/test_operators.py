@@ -275,6 +275,36 @@ def test_secret_scan_follows_layers():
     ]
 
 
+def test_secret_scan_unpacks_all_and_takes_any_text(monkeypatch):
+    import base64
+
+    secret = b"password=abcdefghijkl0123"
+    b64 = lambda x: base64.b64encode(x).decode()
+
+    def deep(text):
+        base, every, _ = secret_scan.scan_text(text)
+        return [x for x in every if x not in base]
+
+    packed = secret
+    for _ in range(12):
+        packed = zlib.compress(packed)
+    for raw in (packed, secret + b"\0", b"\x01" + secret, secret.decode().encode("utf-16"), secret.decode().encode("utf-16-le"),
+                b"\xef\xbb\xbf" + secret, b"\xff\xfa caf\xe9 " + secret):
+        run = b64(raw)
+        assert deep(f"x {run} y") == [("assign", 2, 2 + len(run.rstrip("=")) + run.count("="))], raw
+    rng = random.Random(9)
+    noise = " ".join(words(rng, 200)).encode()
+    for raw in (noise + b" " + secret, zlib.compress(noise + b" " + secret)):
+        run = b64(raw)
+        for feed in ("\n", "\r\n"):
+            text = "key:\n" + feed.join(run[i : i + 76] for i in range(0, len(run), 76)) + "\nend"
+            assert ("assign", 5, text.index("\nend") if feed == "\n" else len(text) - 4) in deep(text)
+    monkeypatch.setattr(secret_scan, "PIECE", 1 << 10)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 1 << 7)
+    for n in range(2000, 2060, 7):
+        assert deep(b64(zlib.compress(zlib.compress(b". " * n + secret + b" ." * 3000))))
+
+
 def test_suffix_dedup(docs):
     got = {r[0]: tuple(r[1:]) for r in suffix_dedup.remove_repeats(docs).drop("kept").collect()}
     seen = set()
