@@ -3,8 +3,10 @@
 A mask hashes the words at its marked places and ignores the others, so a changed word spoils only the
 seeds that mark it. All positions of all documents are hashed under each mask and joined to the seeds of
 the benchmark. At each hit, document and item are laid side by side; they share a passage if in some
-stretch of ``REACH`` words (or the whole of a shorter item) at least ``SIMILAR`` of the words agree. Items with fewer words than a mask is long are
-hashed whole; items below ``WORDS_MIN`` words can't be told from chance and are left out.
+stretch of ``REACH`` words (or the whole of a shorter item) at least ``SIMILAR`` of the words agree. An item
+uses as many of ``MASKS`` as it takes that every way in which so many words of its stretch can agree
+leaves a seed, so no such passage is missed. Items below ``WORDS_MIN`` words can't be told from chance and are
+left out.
 
 The seeds are broadcast if there are at most ``SEEDS_MOST`` of them, which is counted first; beyond that
 they are joined by a shuffle.
@@ -13,32 +15,44 @@ Null and empty texts hold nothing; null ids are reported like others; repeated r
 are ignored.
 """
 
+from functools import cache
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from orbitsieve.scratch import written
 
 # Fixed masks: 1 marks a word that is hashed.
-MASKS = ("11010010111", "11101101001")
-SPAN, WORDS_MIN, SIMILAR, REACH, SEEDS_MOST = 11, 5, 0.8, 16, 1_000_000
+MASKS = ("1111", "11101", "11011", "10111")
+PLACES = [[j for j, c in enumerate(m) if c == "1"] for m in MASKS]
+WORDS_MIN, SIMILAR, REACH, SEEDS_MOST = 5, 0.8, 16, 1_000_000
+
+
+@cache
+def masks_for(n: int) -> int:
+    """How many of the masks leave a seed in whatever stretch of ``n`` words is similar enough."""
+    agree = next(k for k in range(n + 1) if k >= SIMILAR * n)
+    for many in range(1, len(MASKS) + 1):
+        seeds = [{i + j for j in p} for p, m in zip(PLACES[:many], MASKS) for i in range(n - len(m) + 1)]
+        if all(any(x.issuperset(s) for s in seeds) for x in map(set, combinations(range(n), agree))):
+            return many
+    raise ValueError(f"the masks miss passages of {n} words")
 
 
 def _words(text: str) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+"), "")
 
 
-def _seeds(words: str, short: list[int]) -> Column:
-    """For each mask and each short length, the hashes at all positions."""
+def _seeds(words: str, many: int) -> Column:
+    """For each of the first ``many`` masks, the hashes at all positions."""
     n, h = F.size(words), F.col("_hashes")
-    masks = [[j for j, c in enumerate(m) if c == "1"] for m in MASKS]
-    kinds = [(k, len(m), places) for k, (m, places) in enumerate(zip(MASKS, masks))]
-    kinds += [(100 + k, k, list(range(k))) for k in short]
 
-    def at(kind, places):
-        return lambda i: F.xxhash64(F.lit(kind), *(h[i + j] for j in places))
+    def at(kind):
+        return lambda i: F.xxhash64(F.lit(kind), *(h[i + j] for j in PLACES[kind]))
 
     none = F.array().cast("array<bigint>")
     return F.array(*(
-        F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), at(kind, places))).otherwise(none) for kind, size, places in kinds
+        F.when(n >= len(m), F.transform(F.sequence(F.lit(0), n - len(m)), at(k))).otherwise(none) for k, m in enumerate(MASKS[:many])
     ))
 
 
@@ -51,20 +65,18 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     the word of the document at which the item, laid beside it, starts."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     items = benchmark.select("item_id", _words("text").alias("item")).where(F.size("item") >= WORDS_MIN)
-    short = sorted(r[0] for r in items.where(F.size("item") < SPAN).select(F.size("item").alias("n")).distinct().collect())
     size = F.size("item")
-    own = F.when(size < SPAN, F.get(F.lit([len(MASKS) + i for i, _ in enumerate(short)] or [-1]), F.array_position(F.lit(short or [-1]), size).cast("int") - 1))
+    uses = F.get(F.lit([masks_for(n) for n in range(WORDS_MIN, REACH + 1)]), F.least(size, F.lit(REACH)) - WORDS_MIN)
+    most = items.agg(F.max(uses)).first()[0] or 1
     seeds = (
-        _hashed(items, "item").select("item_id", size.alias("n"), own.alias("own"), F.posexplode(_seeds("item", short)).alias("kind", "hashes"))
-        # long items are found by masks, short ones as a whole
-        .where(F.when(F.col("own").isNull(), F.col("kind") < len(MASKS)).otherwise(F.col("kind") == F.col("own")))
-        .select("item_id", F.posexplode("hashes").alias("j", "seed"))
+        _hashed(items, "item").select("item_id", uses.alias("uses"), F.posexplode(_seeds("item", most)).alias("kind", "hashes"))
+        .where("kind < uses").select("item_id", F.posexplode("hashes").alias("j", "seed"))
     )
     if seeds.count() <= SEEDS_MOST:
         seeds = F.broadcast(seeds)
     places = (
         _hashed(docs.select("doc_id", _words("text").alias("words")), "words")
-        .select("doc_id", F.explode(_seeds("words", short)).alias("hashes"))
+        .select("doc_id", F.explode(_seeds("words", most)).alias("hashes"))
         .select("doc_id", F.posexplode("hashes").alias("i", "seed"))
     )
     hits = written(

@@ -197,6 +197,24 @@ def test_decontamination(spark):
     assert sorted(r[0] for r in decontaminate.clean(d, b).collect()) == [2, 4]
 
 
+def test_decontamination_finds_every_similar_passage(spark):
+    """All places of the substitutions that a passage may have, for short items and one beyond the reach."""
+    from itertools import combinations
+
+    items, rows, due = [], [], set()
+    for n in (5, 6, 7, 9, 10, 11, 15, 16, 20):
+        item = [f"i{n}w{j}" for j in range(n)]
+        items.append((n, " ".join(item)))
+        m = min(n, 16)
+        wrong = m - next(k for k in range(m + 1) if 5 * k >= 4 * m)
+        for spots in combinations(range(m), wrong):
+            due.add((len(rows), n))
+            rows.append((len(rows), "a b " + " ".join("x" if j in spots else w for j, w in enumerate(item[:m])) + " c d e f g h"))
+        rows.append((len(rows), "a b " + " ".join("x" if j <= wrong else w for j, w in enumerate(item[:m])) + " c d e f g h"))
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.passages(d, b).collect()} == due
+
+
 def test_pii_base_spans(spark):
     text = "é mail bo.b@x-1.example.com, 10.0.0.256 10.0.0.7 card 4041 8949-7460 8795 or 4041894974608794 tel +1 (988) 555-2485. +12"
     d = spark.createDataFrame([(0, text), (1, "9" * 9000), (2, None)], "doc_id long, text string")
