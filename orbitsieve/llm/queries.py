@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orbitsieve.llm import (
-    compact_windows, decontaminate, jaccard_join, language, line_chunks, packing, pii, quality, secret_scan, suffix_dedup,
+    compact_windows, decontaminate, jaccard_join, language, line_chunks, merkle, packing, pii, quality, secret_scan, suffix_dedup,
 )
 
 QUERIES = {}
@@ -76,3 +76,8 @@ def op9_secret_scan(spark, sf_dir):
 @query
 def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.lowered_third(table(spark, sf_dir, "documents")).drop("proof")
