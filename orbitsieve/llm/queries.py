@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orbitsieve.llm import (
-    compact_windows, decontaminate, jaccard_join, language, line_chunks, merkle, packing, pii, quality, secret_scan, suffix_dedup,
+    compact_windows, decontaminate, jaccard_join, language, line_chunks, merkle, packing, pii, quality, secret_scan, suffix_dedup, winnowing,
 )
 
 QUERIES = {}
@@ -81,3 +81,64 @@ def op10_suffix_dedup(spark, sf_dir):
 @query
 def op13_merkle_manifest(spark, sf_dir):
     return merkle.lowered_third(table(spark, sf_dir, "documents")).drop("proof")
+
+
+@query
+def op11_winnowing(spark, sf_dir):
+    rows = winnowing.compare_edits(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256", winnowing.as_text(F.col("marks")).alias("fingerprint"),
+        winnowing.as_text(F.col("edited_marks")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
+# Powers of the base for doubling runs of 1, 2, 4, 8 units to 16.
+_POWERS = [pow(winnowing.BASE, 2**j, 2**64) for j in range(4)]
+_DOUBLED = "units AS (SELECT doc_id, side, size, i, (unicode(c) + 1)::UHUGEINT AS g0 FROM letters)" + "".join(
+    f""",
+    g{j + 1} AS (SELECT doc_id, side, size, i,
+      ((g{j} * {p}::UHUGEINT) % 18446744073709551616::UHUGEINT
+       + COALESCE(LEAD(g{j}, {2**j}) OVER (PARTITION BY doc_id, side ORDER BY i), 0::UHUGEINT)) % 18446744073709551616::UHUGEINT AS g{j + 1}
+      FROM {"units" if j == 0 else f"g{j}"})"""
+    for j, p in enumerate(_POWERS)
+)
+ORACLE["op11_winnowing"] = f"""
+WITH placed AS (
+  SELECT doc_id, COALESCE(text, '') AS text, ROW_NUMBER() OVER (ORDER BY doc_id DESC) AS r, COUNT(*) OVER () AS n FROM documents),
+sides AS (
+  SELECT x.doc_id, y.doc_id AS next_id, x.text, LENGTH(x.text) AS n_chars,
+    x.text[:(LENGTH(x.text) - LENGTH(x.text) // 2)] || y.text[:(LENGTH(x.text) // 2)] AS edited
+  FROM placed x JOIN placed y ON y.r = x.r % x.n + 1),
+texts AS (SELECT doc_id, 0 AS side, text FROM sides UNION ALL SELECT doc_id, 1, edited FROM sides),
+letters AS (
+  SELECT doc_id, side, LENGTH(text) AS size, UNNEST(RANGE(LENGTH(text))) AS i, UNNEST(STRING_SPLIT(text, '')) AS c FROM texts),
+{_DOUBLED},
+grams AS (
+  SELECT doc_id, side, i, GREATEST(size - {winnowing.GRAM - 1}, 1) AS n,
+    (((g4 * {winnowing.FINAL}::UHUGEINT) % 18446744073709551616::UHUGEINT) // 65536::UHUGEINT)::HUGEINT AS h
+  FROM g4 WHERE i < GREATEST(size - {winnowing.GRAM - 1}, 1)),
+least AS (
+  SELECT doc_id, side, i, n, MIN(h * 4294967296::HUGEINT + (4294967295 - i)) OVER (
+    PARTITION BY doc_id, side ORDER BY i ROWS BETWEEN CURRENT ROW AND {winnowing.WINDOW - 1} FOLLOWING) AS m FROM grams),
+marks AS (
+  SELECT DISTINCT doc_id, side, (m // 4294967296::HUGEINT)::BIGINT AS h, (4294967295 - m % 4294967296::HUGEINT)::BIGINT AS pos
+  FROM least WHERE i < GREATEST(n - {winnowing.WINDOW - 1}, 1)),
+listed AS (
+  SELECT doc_id, side, STRING_AGG(FORMAT('{{:x}}', h) || ':' || pos, ',' ORDER BY pos) AS marks, COUNT(DISTINCT h) AS k
+  FROM marks GROUP BY doc_id, side),
+sets AS (SELECT DISTINCT doc_id, side, h FROM marks),
+with_edited AS (
+  SELECT a.doc_id, COUNT(*) AS both FROM sets a JOIN sets b ON a.doc_id = b.doc_id AND a.h = b.h WHERE a.side = 0 AND b.side = 1 GROUP BY 1),
+with_next AS (
+  SELECT s.doc_id, COUNT(*) AS both FROM sides s JOIN sets a ON a.doc_id = s.doc_id AND a.side = 0
+  JOIN sets b ON b.doc_id = s.next_id AND b.side = 0 AND a.h = b.h GROUP BY 1)
+SELECT s.doc_id, s.n_chars, SHA256(s.edited) AS edited_sha256, COALESCE(a.marks, '') AS fingerprint,
+  COALESCE(e.marks, '') AS edited_fingerprint,
+  CASE WHEN COALESCE(a.k, 0) + COALESCE(e.k, 0) = 0 THEN 1e0
+    ELSE COALESCE(we.both, 0)::DOUBLE / (COALESCE(a.k, 0) + COALESCE(e.k, 0) - COALESCE(we.both, 0)) END AS near_edited,
+  CASE WHEN COALESCE(a.k, 0) + COALESCE(x.k, 0) = 0 THEN 1e0
+    ELSE COALESCE(wn.both, 0)::DOUBLE / (COALESCE(a.k, 0) + COALESCE(x.k, 0) - COALESCE(wn.both, 0)) END AS near_next
+FROM sides s LEFT JOIN listed a ON a.doc_id = s.doc_id AND a.side = 0 LEFT JOIN listed e ON e.doc_id = s.doc_id AND e.side = 1
+LEFT JOIN listed x ON x.doc_id = s.next_id AND x.side = 0
+LEFT JOIN with_edited we ON we.doc_id = s.doc_id LEFT JOIN with_next wn ON wn.doc_id = s.doc_id
+"""

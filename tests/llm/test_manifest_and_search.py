@@ -1,12 +1,13 @@
 """Merkle manifest, winnowing and ranked search against plain versions, with edge rows and empty tables."""
 
 import hashlib
+import random
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from orbitsieve.llm import merkle
+from orbitsieve.llm import merkle, winnowing
 from orbitsieve.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -89,3 +90,73 @@ def test_manifest_equals_plain_version(spark, rows):
 
 def test_manifest_of_nothing(spark):
     assert merkle.lowered_third(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def plain_marks(text):
+    """Marks straight from the definition."""
+    n = len(text)
+    if not n:
+        return []
+    grams = []
+    for i in range(max(n - winnowing.GRAM + 1, 1)):
+        h = 0
+        for j in range(winnowing.GRAM):
+            h = (h * winnowing.BASE + (ord(text[i + j]) + 1 if i + j < n else 0)) % 2**64
+        grams.append((h * winnowing.FINAL % 2**64) >> 16)
+    out = set()
+    for a in range(max(len(grams) - winnowing.WINDOW + 1, 1)):
+        window = grams[a : a + winnowing.WINDOW]
+        out.add((a + max(i for i, h in enumerate(window) if h == min(window)), min(window)))
+    return [(h, p) for p, h in sorted(out)]
+
+
+def likeness(a, b):
+    a, b = {h for h, _ in a}, {h for h, _ in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def fingerprint_texts():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdeé 漢😀") for _ in range(rng.choice((0, 1, 5, 15, 16, 17, 78, 79, 80, 150, 700)))) for _ in range(40)]
+    return texts + ["ab" * 400, "x" * 300, "", None, texts[9], texts[9], "Word " * 900]
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 40, 90])
+def test_winnowing_equals_plain_version(spark, ranges):
+    texts = fingerprint_texts()
+    df = spark.createDataFrame([(7 * i, t, None, "s", 1) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    for c in ("range", "more", "h", "major", "minor", "place", "marks"):
+        df = df.withColumn(c, F.lit(1))
+    got = {r.doc_id: r for r in winnowing.compare_edits(df, ranges).collect()}
+    assert len(got) == len(texts)
+    plain = [t or "" for t in texts]
+    for i, t in enumerate(plain):
+        after, half, r = plain[i - 1], len(t) // 2, got[7 * i]
+        edited = t[: len(t) - half] + after[:half]
+        marks, other = plain_marks(t), plain_marks(edited)
+        assert [tuple(m) for m in r.marks] == marks and [tuple(m) for m in r.edited_marks] == other
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.near_edited, r.near_next) == (likeness(marks, other), likeness(marks, plain_marks(after)))
+    alone = {r.doc_id: r for r in winnowing.fingerprints(df).collect()}
+    assert all(alone[d].marks == r.marks and alone[d].n_chars == r.n_chars for d, r in got.items())
+
+
+def test_winnowing_in_pieces_and_its_guarantee(monkeypatch):
+    rng = random.Random(6)
+    text = "".join(rng.choice("abc ") for _ in range(5000))
+    passage = "".join(rng.choice("abc ") for _ in range(winnowing.GRAM + winnowing.WINDOW - 1))
+    whole = [x.tolist() for x in winnowing.winnow([winnowing.code_points(t) for t in (text, "aa" * 2000, passage)])]
+    monkeypatch.setattr(winnowing, "PIECE", 97)
+    assert [x.tolist() for x in winnowing.winnow([winnowing.code_points(t) for t in (text, "aa" * 2000, passage)])] == whole
+    for cut in (0, 1, 333, 4999):
+        h, _, off = winnowing.winnow([winnowing.code_points(t) for t in (text[:cut] + passage + text[cut:], passage + "b" * 200)])
+        assert set(h[: off[1]].tolist()) & set(h[off[1] :].tolist())
+
+
+def test_winnowing_of_edge_rows(spark):
+    df = spark.createDataFrame(EDGES, SCHEMA)
+    rows = winnowing.compare_edits(df, 4).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_chars) for r in rows) == sorted(
+        (r[0] is not None, r[0] or 0, len(r[1] or "")) for r in EDGES
+    )
+    assert winnowing.compare_edits(df.limit(0)).collect() == [] and winnowing.fingerprints(df.limit(0)).collect() == []

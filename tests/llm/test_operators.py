@@ -76,7 +76,7 @@ def test_edge_rows_and_empty_tables(spark, edges, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
 
 
 def test_jaccard_join(docs):
