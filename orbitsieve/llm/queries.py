@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orbitsieve.llm import (
-    compact_windows, decontaminate, jaccard_join, language, line_chunks, merkle, packing, pii, quality, secret_scan, suffix_dedup, winnowing,
+    compact_windows, decontaminate, jaccard_join, language, line_chunks, merkle, norm_search, packing, pii, quality, secret_scan, suffix_dedup, winnowing,
 )
 
 QUERIES = {}
@@ -142,3 +142,27 @@ FROM sides s LEFT JOIN listed a ON a.doc_id = s.doc_id AND a.side = 0 LEFT JOIN
 LEFT JOIN listed x ON x.doc_id = s.next_id AND x.side = 0
 LEFT JOIN with_edited we ON we.doc_id = s.doc_id LEFT JOIN with_next wn ON wn.doc_id = s.doc_id
 """
+
+
+@query
+def op12_norm_search(spark, sf_dir):
+    return norm_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"REGEXP_EXTRACT_ALL(TRANSLATE(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLE["op12_norm_search"] = f"""
+WITH doc_terms AS (SELECT doc_id, UNNEST({_TERMS}) AS term FROM documents),
+tfs AS (SELECT doc_id, term, COUNT(*) AS tf FROM doc_terms GROUP BY ALL),
+sizes AS (SELECT doc_id, SUM(tf)::BIGINT AS n FROM tfs GROUP BY doc_id),
+whole AS (SELECT COUNT(*) AS docs, SUM(n)::BIGINT AS terms FROM sizes),
+weights AS (
+  SELECT term, FLOOR(1000 * LN((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, COUNT(*) AS df FROM tfs GROUP BY term), whole),
+impacts AS (
+  SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)) * w AS gain
+  FROM tfs JOIN sizes USING (doc_id) JOIN weights USING (term), whole),
+item_terms AS (SELECT item_id, UNNEST({_TERMS}) AS term FROM benchmark),
+scores AS (SELECT item_id, doc_id, SUM(gain)::BIGINT AS score FROM item_terms JOIN impacts USING (term) GROUP BY item_id, doc_id),
+places AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM places WHERE rank <= 10
+"""
