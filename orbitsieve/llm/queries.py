@@ -166,3 +166,61 @@ scores AS (SELECT item_id, doc_id, SUM(gain)::BIGINT AS score FROM item_terms JO
 places AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM places WHERE rank <= 10
 """
+
+
+_SIZED = "COALESCE(OCTET_LENGTH(ENCODE({0})) || ':' || {0}, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "SHA256(" + " || ".join(_SIZED.format(f) for f in fields) + ")"
+
+
+_SIDES = """COALESCE(STRING_AGG(digest, '') OVER ({0} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    COALESCE(STRING_AGG(digest, '') OVER ({0} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after"""
+ORACLE["op13_merkle_manifest"] = f"""
+WITH RECURSIVE bits AS (
+  SELECT UNNEST(RANGE(256)) AS b, UNNEST(RANGE(256))::BIGINT AS c, 0 AS k
+  UNION ALL SELECT b, XOR(c >> 1, 3988292384 * (c & 1)), k + 1 FROM bits WHERE k < 8),
+crcs AS (
+  SELECT DISTINCT doc_id, 0 AS k, 4294967295::BIGINT AS c FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT x.doc_id, x.k + 1, XOR(x.c >> 8, b.c) FROM crcs x
+  JOIN bits b ON b.k = 8 AND x.k < LENGTH(x.doc_id::VARCHAR) AND b.b = XOR(x.c, ASCII((x.doc_id::VARCHAR)[x.k + 1])) & 255),
+tampered AS (SELECT doc_id, XOR(ARG_MAX(c, k), 4294967295) % 3 = 0 AS hit FROM crcs GROUP BY doc_id),
+leaves AS (
+  SELECT doc_id, lang, {_leaf_sql("text")} AS leaf,
+    CASE WHEN hit THEN {_leaf_sql("TRANSLATE(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf_sql("text")} END AS start
+  FROM documents LEFT JOIN tampered USING (doc_id)),
+placed AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS spot, COUNT(*) OVER (PARTITION BY lang) AS n,
+    DENSE_RANK() OVER (ORDER BY ENCODE(lang) NULLS FIRST) - 1 AS tree FROM leaves),
+inner_nodes AS (
+  SELECT tree, 0 AS level, spot, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT tree, level + 1, spot // 8, (n + 7) // 8, SHA256(STRING_AGG(digest, '' ORDER BY spot))
+  FROM inner_nodes WHERE n > 1 GROUP BY tree, level, spot // 8, n),
+subroots AS (SELECT tree, level, digest FROM inner_nodes WHERE n = 1),
+upper AS (
+  SELECT 0 AS level, tree AS spot, (SELECT COUNT(*) FROM subroots) AS n, digest FROM subroots
+  UNION ALL
+  SELECT level + 1, spot // 8, (n + 7) // 8, SHA256(STRING_AGG(digest, '' ORDER BY spot)) FROM upper WHERE n > 1 GROUP BY level, spot // 8, n),
+inner_sides AS (SELECT tree, level, spot, {_SIDES.format("PARTITION BY tree, level, spot // 8 ORDER BY spot")} FROM inner_nodes WHERE n > 1),
+upper_sides AS (SELECT level, spot, {_SIDES.format("PARTITION BY level, spot // 8 ORDER BY spot")} FROM upper WHERE n > 1),
+steps AS (
+  SELECT p.tree, p.spot, s.level AS step, s.before, s.after
+  FROM placed p JOIN inner_sides s ON s.tree = p.tree AND s.spot = p.spot >> (3 * s.level)::INTEGER
+  UNION ALL
+  SELECT p.tree, p.spot, r.level + s.level, s.before, s.after
+  FROM placed p JOIN subroots r ON r.tree = p.tree JOIN upper_sides s ON s.spot = p.tree >> (3 * s.level)::INTEGER),
+folded AS (
+  SELECT tree, spot, 0 AS step, start AS x FROM placed
+  UNION ALL
+  SELECT f.tree, f.spot, f.step + 1, SHA256(s.before || f.x || s.after) FROM folded f JOIN steps s ON s.tree = f.tree AND s.spot = f.spot AND s.step = f.step),
+ends AS (SELECT tree, spot, ARG_MAX(x, step) AS folded_root FROM folded GROUP BY tree, spot),
+proofs AS (SELECT tree, spot, SHA256(STRING_AGG(before || after, '' ORDER BY step)) AS proof FROM steps GROUP BY tree, spot)
+SELECT p.doc_id, p.leaf, r.digest AS subroot, u.digest AS root, COALESCE(q.proof, SHA256('')) AS proof_sha256,
+  e.folded_root, e.folded_root = u.digest AS verified
+FROM placed p JOIN subroots r ON r.tree = p.tree JOIN ends e ON e.tree = p.tree AND e.spot = p.spot
+LEFT JOIN proofs q ON q.tree = p.tree AND q.spot = p.spot, (SELECT digest FROM upper WHERE n = 1) u
+"""

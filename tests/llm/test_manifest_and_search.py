@@ -1,14 +1,20 @@
 """Merkle manifest, winnowing and ranked search against plain versions, with edge rows and empty tables."""
 
+import glob
 import hashlib
+import math
+import os
 import random
 import zlib
+from collections import Counter
 
+import duckdb
 import pytest
+from check_oracle import compare
 from pyspark.sql import functions as F
 
-from orbitsieve.llm import merkle, winnowing
-from orbitsieve.llm.queries import QUERIES
+from orbitsieve.llm import merkle, norm_search, winnowing
+from orbitsieve.llm.queries import ORACLE, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 EDGES = [
@@ -160,3 +166,70 @@ def test_winnowing_of_edge_rows(spark):
         (r[0] is not None, r[0] or 0, len(r[1] or "")) for r in EDGES
     )
     assert winnowing.compare_edits(df.limit(0)).collect() == [] and winnowing.fingerprints(df.limit(0)).collect() == []
+
+
+def plain_ranking(docs, items, top=10):
+    terms = lambda t: norm_search.TERM.findall((t or "").translate(norm_search.LOWERED))
+    bags = [(d, Counter(terms(t))) for d, t in docs]
+    n_docs, total = sum(1 for _, b in bags if b), sum(sum(b.values()) for _, b in bags)
+    df = Counter(t for _, b in bags for t in b)
+    out = []
+    for item, text in items:
+        rows = []
+        for d, b in bags:
+            m = 25 + 75 * sum(b.values()) * n_docs // total if total else 0
+            gain = lambda t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (1_000_000_000 * b[t] // (1000 * b[t] + 8 * m))
+            score = sum(gain(t) for t in terms(text) if t in b)
+            if score > 0:
+                rows.append((-score, d is not None, d or 0, d))
+        out += [(item, k + 1, d, -s) for k, (s, _, _, d) in enumerate(sorted(rows)[:top])]
+    return sorted(out, key=str)
+
+
+def search_tables(seed):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdeß漢") for _ in range(rng.choice((1, 2, 3, 7, 8, 9, 17, 70)))) for _ in range(120)]
+    pick = lambda n: " ".join(rng.choice(words[: rng.choice((10, 120))]).upper() if rng.random() < 0.2 else rng.choice(words[: rng.choice((10, 120))]) for _ in range(n))
+    docs = [(i, pick(rng.choice((0, 1, 3, 20, 60, 400)))) for i in range(300)]
+    docs += [(1000 + i, docs[7][1]) for i in range(40)] + [(None, docs[8][1]), (8, docs[8][1]), (8, docs[8][1]), (2000, None), (2001, ""), (2002, " .,-\n"), (2003, pick(20_000))]
+    items = [(i, pick(rng.choice((1, 4, 12, 40)))) for i in range(25)] + [(90, docs[7][1]), (91, docs[7][1]), (92, None), (93, ""), (None, words[3]), (94, "zzz")]
+    return docs, items
+
+
+@pytest.mark.parametrize("blocks", [4096, 9])
+def test_search_equals_plain_version(spark, monkeypatch, blocks):
+    monkeypatch.setattr(norm_search, "ITEMS", blocks)
+    docs, items = search_tables(blocks)
+    left = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    right = spark.createDataFrame(items, "item_id long, text string")
+    for c in ("query", "rank", "score", "norm", "row", "n", "terms", "item_id"):
+        left = left.withColumn(c, F.lit(1))
+    got = norm_search.rank_documents(left, right.withColumn("doc_id", F.lit(5)).withColumn("score", F.lit(5))).collect()
+    assert sorted((tuple(r[c] for c in ("item_id", "rank", "doc_id", "score")) for r in got), key=str) == plain_ranking(docs, items)
+
+
+def test_search_buckets_lose_nothing(spark, monkeypatch):
+    """With buckets of a few rows the bounds decide most rows."""
+    monkeypatch.setattr(norm_search, "CELLS", 1)
+    docs, items = search_tables(77)
+    left = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = norm_search.rank_documents(left, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == plain_ranking(docs, items)
+
+
+def test_search_of_nothing(spark):
+    docs = spark.createDataFrame(EDGES, SCHEMA)
+    items = spark.createDataFrame([(1, "text word"), (2, None)], "item_id long, text string")
+    assert norm_search.rank_documents(docs.limit(0), items).collect() == []
+    assert norm_search.rank_documents(docs, items.limit(0)).collect() == []
+    assert norm_search.rank_documents(docs, items.where("item_id = 2")).collect() == []
+    got = norm_search.rank_documents(docs, items).collect()
+    assert sorted(map(tuple, got), key=str) == plain_ranking([r[:2] for r in EDGES], [(1, "text word"), (2, None)])
+
+
+@pytest.mark.parametrize("name", ["op11_winnowing", "op12_norm_search", "op13_merkle_manifest"])
+def test_queries_on_the_test_tables(spark, sf, name):
+    con = duckdb.connect()
+    for f in glob.glob(f"{sf}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    assert compare(QUERIES[name](spark, sf).toPandas(), con.execute(ORACLE[name]).df()) == "ok"
