@@ -14,7 +14,7 @@ from ..operators import (
 from ..sources.fixture import orbits
 from . import domains, flows
 from .queries import (
-    LABELLED, _bounds_cte, labelled_orbits, query, r6, rounded, rule_clusters, sql, _cluster_sql, _hist_sql,
+    LABEL_MOID, LABELLED, _bounds_cte, labelled_orbits, query, r6, rounded, rule_clusters, sql, _cluster_sql, _hist_sql,
 )
 
 # --- virtual orbits --------------------------------------------------------------------------
@@ -332,6 +332,40 @@ def classify_by_cluster(spark, sf):
     return rounded(clusters.classify_by_cluster(layered, est, ["a", "i"], df)[1])
 
 
+_KNN = 15
+_KNN_CTES = [
+    f"asked AS (SELECT oid, {LABEL_MOID} AS label, a, i FROM orbits WHERE origin = 'real')",
+    "gen AS (SELECT oid, a, i FROM orbits WHERE origin = 'gen')",
+    *dbscan_ctes("d", "gen", "a", "i", "0.015e0", 100),
+    "kb AS (SELECT MIN(a) AS a0, MAX(a) AS a1, MIN(i) AS i0, MAX(i) AS i1 FROM orbits)",
+    "taught AS (SELECT (a-a0)/(a1-a0) AS u, (i-i0)/(i1-i0) AS v, cluster_id FROM gen JOIN d_lab USING (oid), kb WHERE cluster_id >= 0)",
+    "placed AS (SELECT oid, label, (a-a0)/(a1-a0) AS u, (i-i0)/(i1-i0) AS v FROM asked, kb)",
+    "near AS (SELECT p.oid, p.label, MIN({'d': (p.u-t.u)*(p.u-t.u)+(p.v-t.v)*(p.v-t.v), 'c': t.cluster_id}, " + str(_KNN) + ") AS l FROM placed p, taught t GROUP BY p.oid, p.label)",
+    "votes AS (SELECT oid, label, c, COUNT(*) AS n FROM (SELECT oid, label, UNNEST(l).c AS c FROM near) GROUP BY ALL)",
+    "won AS (SELECT oid, label, c AS cluster_id FROM votes QUALIFY ROW_NUMBER() OVER (PARTITION BY oid ORDER BY n DESC, c) = 1)",
+]
+
+
+def _knn(spark, sf):
+    """Real orbits by the density clusters of the virtual ones."""
+    df = _moid_labelled(spark, sf).select("oid", "origin", "label", "a", "i")
+    found = db.dbscan(df.filter(F.col("origin") == "gen").select("oid", "a", "i"), ["a", "i"])
+    return clusters.classify_by_knn(found, ["a", "i"], df.filter(F.col("origin") == "real"), _KNN)
+
+
+@query("classify_by_knn", recursive(sql("SELECT oid, cluster_id FROM won", *_KNN_CTES)))
+def classify_by_knn(spark, sf):
+    return _knn(spark, sf)[0].select("oid", "cluster_id")
+
+
+@query(
+    "knn_haz_fraction",
+    recursive(sql(f"SELECT cluster_id, CAST(COUNT(*) AS BIGINT) AS n, {r6(haz_fraction='AVG(label)')} FROM won GROUP BY cluster_id", *_KNN_CTES)),
+)
+def knn_haz_fraction(spark, sf):
+    return rounded(_knn(spark, sf)[1])
+
+
 # --- meshes ----------------------------------------------------------------------------------
 
 _KDE = 51

@@ -9,7 +9,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _local_roots: dict[str, str] = {}
 
@@ -43,3 +43,10 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written_with(df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict]:
+    """``written``, and aggregates over the rows, taken while they are written."""
+    seen = Observation()
+    out = written(df.observe(seen, *[v.alias(k) for k, v in sums.items()]), name)
+    return out, seen.get
