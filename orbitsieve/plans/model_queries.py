@@ -385,6 +385,22 @@ def kde_grid(spark, sf):
     return rounded(density.kde_grid(scaled, ["w", "q"], 0.05, _KDE, scales=scales)[0])
 
 
+@query(
+    "kde_grid_narrow",
+    sql(
+        f"SELECT CAST(g.ix AS INTEGER) AS ix, CAST(g.iy AS INTEGER) AS iy, {r6(x=f'MIN(x0)+g.ix*1e0/{_KDE-1}*(MIN(x1)-MIN(x0))', y=f'MIN(y0)+g.iy*1e0/{_KDE-1}*(MIN(y1)-MIN(y0))', log_density='MIN(least)*-1e0/(2*0.01e0*0.01e0)+LN(SUM(EXP(-(POW(u-g.ix*1e0/50,2)+POW(v-g.iy*1e0/50,2)-least)/(2*0.01e0*0.01e0))))-LN(COUNT(*))-LN(2*PI()*0.01e0*0.01e0)')} "
+        "FROM n, g GROUP BY g.ix, g.iy",
+        "b2 AS (SELECT MIN(w) AS x0, MAX(w) AS x1, MIN(q) AS y0, MAX(q) AS y1 FROM orbits)",
+        "n AS MATERIALIZED (SELECT (w-x0)/(x1-x0) AS u, (q-y0)/(y1-y0) AS v, x0, x1, y0, y1 FROM orbits, b2 WHERE q > 0.4 + 0.001 * w)",
+        f"g AS MATERIALIZED (SELECT ix, iy, MIN(POW(u-ix*1e0/50,2)+POW(v-iy*1e0/50,2)) AS least FROM n, (SELECT UNNEST(RANGE(0, {_KDE})) AS ix), (SELECT UNNEST(RANGE(0, {_KDE})) AS iy) GROUP BY ix, iy)",
+    ),
+)
+def kde_grid_narrow(spark, sf):
+    """A bandwidth at which most of the mesh lies hundreds of bandwidths away from any orbit."""
+    scaled, scales = scaling.minmax_normalize(orbits(spark, sf).select("w", "q", (F.col("q") > 0.4 + 0.001 * F.col("w")).alias("high")), ["w", "q"])
+    return rounded(density.kde_grid(scaled.filter("high"), ["w", "q"], 0.01, _KDE, scales=scales)[0])
+
+
 @query(
     "kde_grid_embeddings",
     sql(
