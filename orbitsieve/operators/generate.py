@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import constants as K
 from ..functions import orbital as O
 from .distributions import (
-    Fitted, draws, quantile, share_below, uniform_distributions, uniform_rows, with_tables,
+    Fitted, below, cut_density, draws, quantile, share_below, uniform_distributions, uniform_rows,
 )
 
 
@@ -17,13 +17,9 @@ def gen_orbits(spark: SparkSession, dists: dict[str, Fitted], num: int, seed: in
     perihelia below it, then ``q`` from its density cut at ``a``. That is done directly.
     """
     a, q = dists["a"], dists["q"]
-    edges = np.linspace(a.lo, a.hi, len(a.cdf))
-    middle = (edges[:-1] + edges[1:]) / 2
-    below = np.interp(middle, np.linspace(q.lo, q.hi, len(q.cdf)), q.cdf)
-    allowed = np.diff(a.cdf) * below
-    if allowed.sum() <= 0:
+    if q.lo >= a.hi:
         raise ValueError("no perihelion distance is below a semi-major axis")
-    a = with_tables(a, allowed)
+    a = cut_density(a, lambda places: below(q, np.clip(places, q.lo, q.hi)))
     rows = uniform_rows(spark, num, list(dists), seed)
     others = [quantile(d, F.col(f"_r_{c}")).alias(c) for c, d in dists.items() if c not in ("a", "q")]
     rows = rows.select("oid", "_r_q", quantile(a, F.col("_r_a")).alias("a"), *others)

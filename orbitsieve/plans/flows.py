@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..operators import cascade, distributions, filters, generate, quality
 from ..operators.kernel import ColumnModel
 from ..operators.moid import append_moid
+from ..scratch import written
 from ..sources import catalog
 from . import domains
 
@@ -22,7 +23,9 @@ def virtual_population(
 ) -> DataFrame:
     """``num`` virtual orbits drawn after the real ones, with their distance and label."""
     fitted = distributions.fit_distributions(real, families, bins)
-    return filters.haz_by_moid(append_moid(generate.gen_orbits(real.sparkSession, fitted, num, seed)))
+    # written: filters on the distance would repeat the draws' expressions
+    drawn = written(generate.gen_orbits(real.sparkSession, fitted, num, seed), "drawn")
+    return filters.haz_by_moid(append_moid(drawn))
 
 
 def mine_neas(rows: DataFrame, num: int, rules: list[Column], path: str) -> DataFrame:

@@ -27,8 +27,8 @@ def _real(spark, sf):
 @query("fit_distributions")
 def fit_distributions(spark, sf):
     fitted = distributions.fit_distributions(_real(spark, sf), n=25)
-    rows = [(d.name, d.family, p, float(v), d.sse) for d in fitted.values() for p, v in d.params.items()]
-    return spark.createDataFrame(rows, "name string, family string, param string, value double, sse double")
+    rows = [(d.name, d.family_name, p, float(v), d.sse, d.status) for d in fitted.values() for p, v in d.params.items()]
+    return spark.createDataFrame(rows, "name string, family string, param string, value double, sse double, status string")
 
 
 def _wave_sql(col: str) -> str:
