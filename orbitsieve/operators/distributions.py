@@ -307,7 +307,7 @@ def _quantile(d: Fitted, share: Column) -> Column:
     def polished(v: Column) -> Column:
         slope = pdf_column(d, v) / total
         better = v - (cdf_column(d, v) - share) / slope
-        return F.when(slope > 0, F.greatest(F.lit(d.lo), F.least(F.lit(d.hi), better))).otherwise(v)
+        return F.when((slope > 0) & (better > d.lo) & (better < d.hi), better).otherwise(v)
 
     for _ in range(2):
         place = _once(place, polished)

@@ -11,6 +11,8 @@ from ..operators import (
     cascade, clusters, crossval, dbscan as db, density, distributions, filters, generate, grids,
     kernel, quality, scaling,
 )
+from ..functions.pdfs import FAMILIES, mixture
+from ..functions.uniforms import uniform_sql
 from ..sources.fixture import orbits
 from . import domains, flows
 from .queries import (
@@ -31,8 +33,30 @@ def fit_distributions(spark, sf):
     return spark.createDataFrame(rows, "name string, family string, param string, value double, sse double, status string")
 
 
-def _wave_sql(col: str) -> str:
-    """Least squares of A sin 2x + B cos 2x + C over the histogram by Cramer's rule."""
+_LATTICE = 200
+
+
+@query(
+    "normal_fit",
+    sql(
+        "SELECT CAST(j AS INTEGER) AS loc_step, CAST(k AS INTEGER) AS scale_step, 'settled' AS status FROM ("
+        "SELECT j, k, SUM(POW(EXP(-POW((center-loc)/scale,2)/2)/(scale*SQRT(2*PI())) - density, 2)) AS miss "
+        "FROM bins, (SELECT j, k, lo + j*(hi-lo)/" + str(_LATTICE) + " AS loc, k*(hi-lo)/" + str(_LATTICE) + " AS scale "
+        f"FROM lim, (SELECT UNNEST(RANGE({_LATTICE})) AS j), (SELECT UNNEST(RANGE(1, {_LATTICE})) AS k)) GROUP BY j, k) ORDER BY miss LIMIT 1",
+        "r AS (SELECT a FROM orbits WHERE origin = 'real')", "lim AS (SELECT MIN(a) AS lo, MAX(a) AS hi FROM r)",
+        "bins AS MATERIALIZED (" + _hist_sql("r", "a", 50).replace("ROUND(", "((").replace(", 6) + 0e0", "))") + ")",
+    ),
+)
+def normal_fit(spark, sf):
+    """Least-squares normal density of a, as steps of a lattice over its range."""
+    d = distributions.fit_distributions(_real(spark, sf), {"a": "normal"})["a"]
+    step = (d.hi - d.lo) / _LATTICE
+    row = (round((d.params["loc"] - d.lo) / step), round(d.params["scale"] / step), d.status)
+    return spark.createDataFrame([row], "loc_step int, scale_step int, status string")
+
+
+def _wave_parts(col: str, src: str = "r") -> str:
+    """SELECT of a, b, c: least squares of a sin 2x + b cos 2x + c over the histogram by Cramer's rule."""
     m = [["ss", "sc", "s"], ["sc", "cc", "c"], ["s", "c", "n"]]
     det = lambda r: (
         f"({r[0][0]}*({r[1][1]}*{r[2][2]}-{r[1][2]}*{r[2][1]})-{r[0][1]}*({r[1][0]}*{r[2][2]}-{r[1][2]}*{r[2][0]})"
@@ -40,16 +64,54 @@ def _wave_sql(col: str) -> str:
     )
     put = lambda k: [[y if j == k else v for j, v in enumerate(row)] for row, y in zip(m, ("sy", "cy", "sum_y"))]
     a, b, c = (f"{det(put(k))}/{det(m)}" for k in range(3))
-    bins = _hist_sql("r", col, 50)
+    bins = _hist_sql(src, col, 50)
     # The histogram query rounds for its own report; here the full density is needed.
     bins = bins.replace("ROUND(", "((").replace(", 6) + 0e0", "))")
     return (
-        f"SELECT '{col}' AS name, {r6(amp=f'360*SQRT(POW({a},2)+POW({b},2))', phase=f'ATAN2({b}, {a})', shift=f'360*({c})')} FROM ("
+        f"SELECT {a} AS a, {b} AS b, {c} AS c FROM ("
         "SELECT SUM(s*s) AS ss, SUM(s*c) AS sc, SUM(c*c) AS cc, SUM(s) AS s, SUM(c) AS c, COUNT(*)*1e0 AS n, SUM(s*y) AS sy, SUM(c*y) AS cy, SUM(y) AS sum_y "
         f"FROM (SELECT SIN(2*RADIANS(center)) AS s, COS(2*RADIANS(center)) AS c, density AS y FROM ({bins})))"
     )
 
 
+def _wave_sql(col: str) -> str:
+    return f"SELECT '{col}' AS name, {r6(amp='360*SQRT(POW(a,2)+POW(b,2))', phase='ATAN2(b, a)', shift='360*c')} FROM ({_wave_parts(col)})"
+
+
+def _wave_ctes(p: str, col: str, src: str = "r") -> list[str]:
+    """Parameters of a fitted wave on the column's range as ``{p}_w``."""
+    at = lambda x: f"amp*90/PI()*(COS(phase)-COS(2*RADIANS({x})+phase))+shift*({x})"
+    return [
+        f"{p}_0 AS (SELECT SQRT(POW(a,2)+POW(b,2)) AS amp, ATAN2(b, a) AS phase, c AS shift, lo, hi FROM ({_wave_parts(col, src)}), (SELECT MIN({col}) AS lo, MAX({col}) AS hi FROM {src}))",
+        f"{p}_w AS (SELECT *, {at('lo')} AS f0, {at('hi')} AS f1 FROM {p}_0)",
+    ]
+
+
+def _wave_draw(p: str, u: str, rows: str, name: str) -> str:
+    """SELECT of all columns of ``rows`` and the place below which the share ``u`` of a wave lies, by Newton steps."""
+    at, slope = "amp*90/PI()*(COS(phase)-COS(2*RADIANS(x)+phase))+shift*x", "amp*SIN(2*RADIANS(x)+phase)+shift"
+    inner = f"(SELECT r.*, amp, phase, shift, f0, f1, lo + ({u})*(hi-lo) AS x FROM {rows} r, {p}_w)"
+    for _ in range(9):
+        inner = f"(SELECT * REPLACE (x - (({at}) - f0 - ({u})*(f1-f0)) / ({slope}) AS x) FROM {inner})"
+    return f"SELECT * EXCLUDE (amp, phase, shift, f0, f1, x), x AS {name} FROM {inner}"
+
+
+def _uniforms(*names: str) -> str:
+    """CTE ``u``: as many keys as real orbits, with a uniform draw for each name."""
+    return "u AS (SELECT oid, " + ", ".join(f"{uniform_sql(7, c)} AS r_{c}" for c in names) + " FROM (SELECT UNNEST(RANGE((SELECT COUNT(*) FROM r))) AS oid))"
+
+
+_REAL = "r AS (SELECT * FROM orbits WHERE origin = 'real')"
+
+
+def r4(**cols: str) -> str:
+    return ", ".join(f"ROUND({e}, 4) + 0e0 AS {n}" for n, e in cols.items())
+
+
+def rounded4(df):
+    return df.select(*[F.round(f.name, 4).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema])
+
+
 @query(
     "harmonic_fit",
     sql(
@@ -63,11 +125,18 @@ def harmonic_fit(spark, sf):
     return rounded(spark.createDataFrame(rows, "name string, amp double, phase double, shift double"))
 
 
-@query("harmonic")
+@query(
+    "harmonic",
+    sql(
+        f"SELECT oid, {r4(w='w', om='om')} FROM d2",
+        _REAL, *_wave_ctes("w", "w"), *_wave_ctes("om", "om"), _uniforms("w", "om"),
+        f"d1 AS ({_wave_draw('w', 'r_w', 'u', 'w')})", f"d2 AS ({_wave_draw('om', 'r_om', 'd1', 'om')})",
+    ),
+)
 def harmonic(spark, sf):
     df = _real(spark, sf)
     fitted = distributions.fit_distributions(df, {"w": "harmonic", "om": "harmonic"})
-    return distributions.draws(spark, df.count(), fitted)
+    return rounded4(distributions.draws(spark, df.count(), fitted))
 
 
 @query("bimodal")
@@ -77,6 +146,80 @@ def bimodal(spark, sf):
     return distributions.draws(spark, df.count(), fitted)
 
 
+_DRAW_BINS = 50
+
+
+def _binned(draws, col, lo, hi):
+    slot = F.least(F.floor((F.col(col) - lo) / ((hi - lo) / _DRAW_BINS)), F.lit(_DRAW_BINS - 1)).cast("int")
+    return draws.groupBy(slot.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def _binned_sql(name: str, pdf: str, ctes: list[str], limits: str, cells: int) -> str:
+    """How many uniform draws fall between the shares below the edges of bins; shares by Simpson's rule over ``pdf`` of x."""
+    return sql(
+        "SELECT CAST(k - 1 AS INTEGER) AS bin, COUNT(*) AS n FROM (SELECT oid, (SELECT COUNT(*) FROM edges WHERE share <= d.r_x) + 1 AS k FROM u d) GROUP BY 1",
+        *ctes,
+        f"lim AS ({limits})",
+        f"nodes AS (SELECT i, lo + i*(hi-lo)/{2 * cells * _DRAW_BINS} AS x FROM lim, (SELECT UNNEST(RANGE({2 * cells * _DRAW_BINS + 1})) AS i))",
+        f"dens AS MATERIALIZED ({pdf})",
+        f"parts AS (SELECT i // {2 * cells} AS bin, SUM(f * CASE WHEN i % 2 = 1 THEN 4 WHEN i % {2 * cells} = 0 THEN 1 ELSE 2 END) AS s FROM dens WHERE i < {2 * cells * _DRAW_BINS} GROUP BY 1)",
+        f"whole AS (SELECT p.bin, s + f AS s FROM parts p JOIN dens d ON d.i = (p.bin + 1) * {2 * cells})",
+        f"edges AS MATERIALIZED (SELECT * FROM (SELECT bin, SUM(s) OVER (ORDER BY bin) / SUM(s) OVER () AS share FROM whole) WHERE bin < {_DRAW_BINS - 1})",
+        "u AS (SELECT " + uniform_sql(7, name) + " AS r_x, oid FROM (SELECT UNNEST(RANGE((SELECT COUNT(*) FROM r))) AS oid))",
+    )
+
+
+@query(
+    "bimodal_draws",
+    _binned_sql(
+        "w",
+        "SELECT i, 0.3e0*EXP(-POW((x-m1)/s1,2)/2)/s1 + 0.7e0*EXP(-POW((x-m2)/s2,2)/2)/s2 AS f FROM nodes, lim",
+        [_REAL],
+        "SELECT MIN(w) AS lo, MAX(w) AS hi, AVG(w)-STDDEV_SAMP(w) AS m1, AVG(w)+STDDEV_SAMP(w) AS m2, STDDEV_SAMP(w)/5 AS s1, STDDEV_SAMP(w)/2 AS s2 FROM r",
+        40,
+    ),
+)
+def bimodal_draws(spark, sf):
+    """Draws from two normal densities with unequal shares and widths, cut to the data's range."""
+    df = _real(spark, sf)
+    n, lo, hi, mean, std = df.agg(F.count("*"), F.min("w"), F.max("w"), F.avg("w"), F.stddev_samp("w")).first()
+    normal = FAMILIES["normal"]
+    params = {"share_1": 0.3, "loc_1": mean - std, "scale_1": std / 5, "loc_2": mean + std, "scale_2": std / 2}
+    d = distributions.given(spark, "w", mixture(normal, normal), params, lo, hi)
+    return _binned(distributions.draws(spark, n, {"w": d}), "w", lo, hi)
+
+
+@query(
+    "kde_draws",
+    _binned_sql(
+        "q",
+        "SELECT nodes.i, SUM(EXP(-POW((x-q)/bw,2)/2)) AS f FROM nodes, lim, r GROUP BY nodes.i",
+        [_REAL],
+        "SELECT MIN(q)-9*bw AS lo, MAX(q)+9*bw AS hi, MIN(bw) AS bw FROM r, (SELECT STDDEV_SAMP(q)*POW(COUNT(*), -0.2e0) AS bw FROM r) GROUP BY bw",
+        12,
+    ),
+)
+def kde_draws(spark, sf):
+    df = _real(spark, sf)
+    d = distributions.kde_distribution(df, "q")
+    return _binned(distributions.draws(spark, df.count(), {"q": d}), "q", d.lo, d.hi)
+
+
+@query(
+    "truncated_draws",
+    sql(
+        "SELECT oid, " + r4(i="lo + sd*POW(-LN(1-POW(r_i*POW(1-EXP(-POW((hi-lo)/sd, 1.2e0)), 1.5e0), 1/1.5e0)), 1/1.2e0)") + " FROM u, lim",
+        _REAL, "lim AS (SELECT MIN(i) AS lo, MAX(i) AS hi, STDDEV_SAMP(i) AS sd FROM r)", _uniforms("i"),
+    ),
+)
+def truncated_draws(spark, sf):
+    """Exponentiated Weibull draws cut to the data's range, tails included."""
+    df = _real(spark, sf)
+    n, lo, hi, std = df.agg(F.count("*"), F.min("i"), F.max("i"), F.stddev_samp("i")).first()
+    d = distributions.given(spark, "i", "exponweib", {"a": 1.5, "c": 1.2, "loc": lo, "scale": std}, lo, hi)
+    return rounded4(distributions.draws(spark, n, {"i": d}))
+
+
 @query("kde_sampler")
 def kde_sampler(spark, sf):
     df = _real(spark, sf)
@@ -112,15 +255,67 @@ def gen_orbits(spark, sf):
     return generate.gen_orbits(spark, distributions.fit_distributions(df, n=25), df.count())
 
 
-@query("gen_orbits_raw")
+@query(
+    "gen_orbits_flat",
+    sql(
+        f"SELECT CAST(LEAST(FLOOR((a-a0)/((a1-a0)/{_DRAW_BINS})), {_DRAW_BINS - 1}) AS INTEGER) AS abin, CAST(FLOOR(20*q/a) AS INTEGER) AS qbin, COUNT(*) AS n FROM drawn GROUP BY 1, 2",
+        _REAL, "lim AS (SELECT MIN(a) AS a0, MAX(a) AS a1, MIN(q) AS q0, MAX(q) AS q1 FROM r)", _uniforms("a", "q"),
+        # a has density 0 up to q0, rises in a straight line up to q1 and is flat beyond
+        "area AS (SELECT *, GREATEST(a0, q0) AS s, POW(q1-q0, 2)/2 - POW(GREATEST(a0, q0)-q0, 2)/2 AS slope, (a1-q1)*(q1-q0) AS flat FROM lim)",
+        "drawn AS (SELECT *, q0 + r_q*LEAST(a-q0, q1-q0) AS q FROM (SELECT u.*, a0, a1, q0, q1, CASE WHEN r_a*(slope+flat) <= slope THEN q0 + SQRT(2*r_a*(slope+flat) + POW(s-q0, 2)) ELSE q1 + (r_a*(slope+flat)-slope)/(q1-q0) END AS a FROM u, area))",
+    ),
+)
+def gen_orbits_flat(spark, sf):
+    """Closed orbits from flat densities of a and q, counted by a and q / a."""
+    df = _real(spark, sf)
+    limits = scaling.bounds(df, ["a", "q"])
+    out = generate.gen_orbits(spark, distributions.uniform_distributions(limits), df.count())
+    lo, hi = limits["a"]
+    abin = F.least(F.floor((F.col("a") - lo) / ((hi - lo) / _DRAW_BINS)), F.lit(_DRAW_BINS - 1)).cast("int")
+    return out.groupBy(abin.alias("abin"), F.floor(20 * F.col("q") / F.col("a")).cast("int").alias("qbin")).agg(F.count("*").alias("n"))
+
+
+_FLAT = ("a", "i", "w", "om", "q")
+
+
+@query(
+    "gen_orbits_raw",
+    sql(
+        f"SELECT oid, {r6(a='a', i='i', w='w', om='om', q='q', e='(a-q)/a', per='2*PI()*SQRT(POW(a*149597870700e0, 3)/(6.67384e-11*1.989e30))/86400')} FROM d",
+        _REAL, "lim AS (SELECT " + ", ".join(f"MIN({c}) AS {c}0, MAX({c}) AS {c}1" for c in _FLAT) + " FROM r)", _uniforms(*_FLAT),
+        "d AS (SELECT oid, " + ", ".join(f"{c}0 + r_{c}*({c}1-{c}0) AS {c}" for c in _FLAT) + " FROM u, lim)",
+    ),
+)
 def gen_orbits_raw(spark, sf):
     df = _real(spark, sf)
     limits = scaling.bounds(df, ["a", "i", "w", "om", "q"])
-    return generate.gen_orbits_raw(spark, df.count(), distributions.uniform_distributions(limits))
+    return rounded(generate.gen_orbits_raw(spark, df.count(), distributions.uniform_distributions(limits)))
 
 
-@query("gen_orbits_inout")
+@query(
+    "gen_orbits_inout",
+    sql(
+        f"SELECT oid, {r4(q='q', e='e', w='w', a='q/(1-e)')} FROM (SELECT * REPLACE (CASE WHEN e >= 1 THEN 0.99e0 ELSE e END AS e), CASE WHEN q <= 1 THEN win ELSE wout END AS w FROM d2)",
+        _REAL, "inside AS (SELECT w FROM r WHERE q <= 1)", "outside AS (SELECT w FROM r WHERE q > 1)",
+        "lim AS (SELECT MIN(q) AS q0, MAX(q) AS q1, MIN(e) AS e0, MAX(e) AS e1 FROM r)", _uniforms("q", "e", "w"),
+        *_wave_ctes("win", "w", "inside"), *_wave_ctes("wout", "w", "outside"),
+        "d0 AS (SELECT oid, r_w, q0 + r_q*(q1-q0) AS q, e0 + r_e*(e1-e0) AS e FROM u, lim)",
+        f"d1 AS ({_wave_draw('win', 'r_w', 'd0', 'win')})", f"d2 AS ({_wave_draw('wout', 'r_w', 'd1', 'wout')})",
+    ),
+)
 def gen_orbits_inout(spark, sf):
+    """Flat q and e; w from the wave fitted to the orbits inside the Earth's, or to those outside."""
+    df = _real(spark, sf)
+    common = distributions.uniform_distributions(scaling.bounds(df, ["q", "e"]))
+    inner, outer = (
+        distributions.fit_distributions(side, {"w": "harmonic"})["w"]
+        for side in (df.filter(F.col("q") <= 1.0), df.filter(F.col("q") > 1.0))
+    )
+    return rounded4(generate.gen_orbits_inout(spark, common, inner, outer, df.count()))
+
+
+@query("gen_orbits_inout_fitted")
+def gen_orbits_inout_fitted(spark, sf):
     df = _real(spark, sf)
     common = distributions.fit_distributions(
         df, {"q": "pearson3", "e": "johnsonsb", "i": "exponweib", "om": "harmonic"}
@@ -342,7 +537,8 @@ _KNN_CTES = [
     "placed AS (SELECT oid, label, (a-a0)/(a1-a0) AS u, (i-i0)/(i1-i0) AS v FROM asked, kb)",
     "near AS (SELECT p.oid, p.label, MIN({'d': (p.u-t.u)*(p.u-t.u)+(p.v-t.v)*(p.v-t.v), 'c': t.cluster_id}, " + str(_KNN) + ") AS l FROM placed p, taught t GROUP BY p.oid, p.label)",
     "votes AS (SELECT oid, label, c, COUNT(*) AS n FROM (SELECT oid, label, UNNEST(l).c AS c FROM near) GROUP BY ALL)",
-    "won AS (SELECT oid, label, c AS cluster_id FROM votes QUALIFY ROW_NUMBER() OVER (PARTITION BY oid ORDER BY n DESC, c) = 1)",
+    "first AS (SELECT oid, c AS cluster_id FROM votes QUALIFY ROW_NUMBER() OVER (PARTITION BY oid ORDER BY n DESC, c) = 1)",
+    "won AS (SELECT oid, label, cluster_id FROM asked LEFT JOIN first USING (oid))",
 ]
 
 

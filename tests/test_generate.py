@@ -134,3 +134,71 @@ def test_uniforms_are_independent_of_each_other_and_of_partitions(spark):
     assert ((pdf >= 0) & (pdf < 1)).all().all()
     again = uniform_rows(spark, 1_000, names, 7).repartition(3).toPandas().set_index("oid").sort_index()
     assert (again == pdf.loc[:999]).all().all()
+
+
+def test_a_family_of_the_user_and_a_mixture_fit(spark):
+    from orbitsieve.functions.pdfs import FAMILIES, Family, mixture
+
+    laplace = Family(
+        ("loc", "scale"), lambda x, loc, scale: F.exp(-F.abs(x - loc) / scale) / (2 * scale),
+        lambda m: [{"loc": m.mean, "scale": m.std}], ("scale",),
+    )
+    u = F.rand(3) - 0.5
+    df = spark.range(0, 40000, 1, 4).select(
+        (F.lit(12.0) - 1.5 * F.signum(u) * F.ln(1 - 2 * F.abs(u))).alias("x"),
+        F.when(F.rand(5) < 0.25, F.randn(6) * 0.5 + 3).otherwise(F.randn(7) * 1.5 + 9).alias("y"),
+    ).filter("x > 0 and y > 0")
+    fitted = D.fit_distributions(df, {"x": laplace, "y": mixture(FAMILIES["normal"], FAMILIES["normal"])}, 80)
+    x, y = fitted["x"], fitted["y"]
+    assert abs(x.params["loc"] - 12) < 0.1 and abs(x.params["scale"] - 1.5) < 0.1 and x.status == "settled"
+    got = [(y.params[f"loc_{k}"], y.params[f"scale_{k}"]) for k in (1, 2)]
+    assert np.allclose(sorted(got), [(3, 0.5), (9, 1.5)], atol=0.15)
+    share = y.params["share_1"] if y.params["loc_1"] < 6 else 1 - y.params["share_1"]
+    assert abs(share - 0.25) < 0.03
+    draws = D.draws(spark, 20000, fitted).toPandas()
+    data = df.toPandas()
+    assert all(ks(draws[c].to_numpy(), data[c].to_numpy()) < 0.02 for c in "xy")
+
+
+def test_tails_follow_the_density(spark):
+    """Shares down to a hundred-thousandth, of a smooth density, one with a deep gap and one with a pole."""
+    from math import erf
+
+    from orbitsieve.functions.pdfs import FAMILIES, mixture
+
+    phi = lambda z: (1 + erf(z / 2**0.5)) / 2
+    normal = FAMILIES["normal"]
+    gap = {"share_1": 0.5, "loc_1": -8.0, "scale_1": 0.2, "loc_2": 8.0, "scale_2": 0.2}
+    shares = [1e-5, 1e-4, 1e-3, 0.3, 0.499, 0.501, 0.9, 0.999, 0.9999, 0.99999]
+    rows = spark.createDataFrame([(k, s) for k, s in enumerate(shares)], "k int, s double")
+    cases = [
+        (D.given(spark, "x", normal, {"loc": 0.0, "scale": 1.0}, -6.0, 6.0), phi),
+        (D.given(spark, "x", "exponweib", {"a": 2.0, "c": 0.9, "loc": 0.0, "scale": 1.0}, 0.0, 30.0), lambda x: (1 - np.exp(-(x**0.9))) ** 2),
+        (D.given(spark, "x", mixture(normal, normal), gap, -10.0, 10.0), lambda x: (phi((x + 8) / 0.2) + phi((x - 8) / 0.2)) / 2),
+    ]
+    for d, cdf in cases:
+        got = rows.select("k", D.quantile(d, F.col("s")).alias("x")).withColumn("back", D.share_below(d, F.col("x"))).toPandas().sort_values("k")
+        lo, hi = cdf(d.lo), cdf(d.hi)
+        assert np.allclose([(cdf(x) - lo) / (hi - lo) for x in got["x"]], shares, rtol=1e-4, atol=1e-9)
+        assert np.allclose(got["back"], shares, rtol=1e-3, atol=1e-7)
+    pole = D.given(spark, "x", "exponweib", {"a": 0.4, "c": 0.9, "loc": 0.0, "scale": 1.0}, 0.0, 30.0)
+    got = rows.select("k", D.quantile(pole, F.col("s")).alias("x")).toPandas().sort_values("k")["x"]
+    whole = (1 - np.exp(-(30**0.9))) ** 0.4
+    assert np.allclose(got, (-np.log(1 - (np.array(shares) * whole) ** 2.5)) ** (1 / 0.9), atol=1e-6) and (got > 0).all()
+
+
+def test_uniforms_are_the_same_in_sql(spark):
+    import duckdb
+
+    from orbitsieve.functions.uniforms import uniform_sql, with_uniforms
+
+    rows = spark.range(5000).selectExpr("id * 918273645546 - 77 AS oid")
+    got = with_uniforms(rows, 3, {"u": "q"}).toPandas()
+    want = duckdb.sql(f"SELECT oid, {uniform_sql(3, 'q')} AS u FROM (SELECT range * 918273645546 - 77 AS oid FROM RANGE(5000))").df()
+    assert got["oid"].tolist() == want["oid"].tolist() and got["u"].tolist() == want["u"].tolist()
+
+
+def test_too_narrow_a_kernel_is_refused(spark):
+    df = spark.createDataFrame([(0.0,), (1.0,)], "x double")
+    with np.testing.assert_raises(ValueError):
+        D.kde_distribution(df, "x", 1e-7)
