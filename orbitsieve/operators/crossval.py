@@ -3,8 +3,9 @@
 from functools import reduce
 
 from pyspark.ml import Estimator
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..scratch import written
 from .kernel import fit_columns
 from .quality import prediction_score
 from .scaling import bounds
@@ -18,9 +19,15 @@ def fit_predict(
     return predicted, prediction_score(predicted)
 
 
-def kfold(est: Estimator, cols: list[str], df: DataFrame, folds: int = 3, key: str = "oid") -> DataFrame:
-    """Score per fold. A row's fold depends on its key alone, whatever the partitioning."""
-    tagged = df.withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)).cast("int"))
+def kfold(
+    est: Estimator, cols: list[str], df: DataFrame, folds: int = 3, key: str = "oid", fold: Column | None = None
+) -> DataFrame:
+    """Score per fold. A row's fold is ``fold`` or depends on its key alone, whatever the partitioning.
+
+    The rows are written once with their folds; all folds read that table.
+    """
+    fold = F.pmod(F.xxhash64(key), F.lit(folds)) if fold is None else fold
+    tagged = written(df.select(*dict.fromkeys([*cols, "label"]), fold.cast("int").alias("fold")), "folds")
     parts = [
         fit_predict(est, cols, tagged.filter(F.col("fold") != k), tagged.filter(F.col("fold") == k))[0]
         for k in range(folds)

@@ -8,17 +8,24 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from ..operators import (
-    cascade, clusters, crossval, dbscan as db, density, distributions, filters, generate, grids,
+    augment, cascade, clusters, crossval, dbscan as db, density, distributions, filters, generate, grids,
     kernel, quality, scaling,
 )
+from ..operators.centroid import CentroidClassifier
 from ..functions.pdfs import FAMILIES, mixture
 from ..functions.uniforms import uniform_sql
 from ..sources.fixture import orbits
 from . import domains, flows
 from .queries import (
-    LABEL_MOID, LABELLED, _bounds_cte, labelled_orbits, query, r6, rounded, rule_clusters, sql, _cluster_sql, _hist_sql,
+    LABEL_MOID, LABELLED, TAGS, _DM_VALUES, _bounds_cte, labelled_orbits, query, r6, rounded, rule_clusters, sql, _cluster_sql, _hist_sql,
 )
 
+
+
+def recursive(text: str) -> str:
+    return text.replace("WITH orbits", "WITH RECURSIVE orbits", 1)
+
+
 # --- virtual orbits --------------------------------------------------------------------------
 
 
@@ -345,7 +352,45 @@ def _report(predicted):
     return rounded(quality.split_quality(predicted, ["origin"]))
 
 
-@query("linear_svm_split")
+def _quality_sql(src: str) -> str:
+    counts = {"pha_in": (1, 1), "nha_in": (0, 1), "pha_out": (1, 0), "nha_out": (0, 0)}
+    tally = ", ".join(f"COUNT(*) FILTER (label = {y} AND prediction = {p}) AS {n}" for n, (y, p) in counts.items())
+    shares = r6(
+        pha_purity="pha_in*1e0/NULLIF(pha_in+nha_in, 0)", nha_purity="nha_out*1e0/NULLIF(pha_out+nha_out, 0)",
+        recall="pha_in*1e0/NULLIF(pha_in+pha_out, 0)",
+    )
+    return f"SELECT *, {shares} FROM (SELECT origin, {tally} FROM {src} GROUP BY origin)"
+
+
+_MOID_LABELLED = f"lab AS (SELECT *, {LABEL_MOID} AS label FROM orbits WHERE moid IS NOT NULL)"
+
+
+def _det(r) -> str:
+    return (
+        f"({r[0][0]}*({r[1][1]}*{r[2][2]}-{r[1][2]}*{r[2][1]})-{r[0][1]}*({r[1][0]}*{r[2][2]}-{r[1][2]}*{r[2][0]})"
+        f"+{r[0][2]}*({r[1][0]}*{r[2][1]}-{r[1][1]}*{r[2][0]}))"
+    )
+
+
+def _newton_ctes() -> list[str]:
+    """Squared hinge in two columns and a constant: each Newton step solves for the rows inside the margin."""
+    m = [["1+2*xx", "2*xy", "2*x"], ["2*xy", "1+2*yy", "2*y"], ["2*x", "2*y", "1+2*n"]]
+    m = [[f"({v})" for v in row] for row in m]
+    put = lambda k: [[r if j == k else v for j, v in enumerate(row)] for row, r in zip(m, ("2*xt", "2*yt", "2*t"))]
+    b = ", ".join(f"{_det(put(k))}/{_det(m)}" for k in range(3))
+    return [
+        "grp AS (" + TAGS.format(src="lab") + ")",
+        "rows AS (SELECT * FROM grp WHERE grp IN ('atira', 'aten'))",
+        "sb AS (SELECT MIN(a) AS a0, MAX(a) AS a1, MIN(i) AS i0, MAX(i) AS i1 FROM rows)",
+        "pts AS MATERIALIZED (SELECT origin, label, (a-a0)/(a1-a0) AS x, (i-i0)/(i1-i0) AS y, CASE WHEN label = 1 THEN 1e0 ELSE -1e0 END AS t FROM rows, sb)",
+        "newton(step, b1, b2, b3) AS (SELECT 0, 0e0, 0e0, 0e0 UNION ALL SELECT step + 1, " + b + " FROM ("
+        "SELECT step, SUM(x*x) AS xx, SUM(x*y) AS xy, SUM(y*y) AS yy, SUM(x) AS x, SUM(y) AS y, COUNT(*) AS n, SUM(x*t) AS xt, SUM(y*t) AS yt, SUM(t) AS t "
+        "FROM newton, pts WHERE step < 25 AND t*(x*b1+y*b2+b3) < 1 GROUP BY step))",
+        "predicted AS (SELECT origin, label, CASE WHEN x*b1+y*b2+b3 > 0 THEN 1 ELSE 0 END AS prediction FROM pts, newton WHERE step = 25)",
+    ]
+
+
+@query("linear_svm_split", recursive(sql(_quality_sql("predicted"), _MOID_LABELLED, *_newton_ctes())))
 def linear_svm_split(spark, sf):
     rows = cascade.group_rows(_moid_labelled(spark, sf), ("atira", "aten"))
     return _report(kernel.split_by_clf(kernel.MarginSVC(kernel="linear"), ["a", "i"], rows)[0])
@@ -374,6 +419,129 @@ def domain_mask(spark, sf):
     return out.groupBy("in_domain", "prediction").agg(F.count("*").alias("n"))
 
 
+def _centroid_ctes(p: str, rows: str, train: str, cols: list[str], label: str = "label") -> list[str]:
+    """``{p}_p``: ``rows`` with the class of the nearest mean of ``train``, all scaled by common bounds."""
+    at = lambda c: f"({c}-{p}_b.{c}_lo)/({p}_b.{c}_hi-{p}_b.{c}_lo)"
+    away = lambda y: "+".join(f"POW({at('r.' + c).replace(p + '_b.r.', p + '_b.')}-m.{c}_{y}, 2)" for c in cols)
+    return [
+        f"{p}_b AS (SELECT " + ", ".join(f"MIN({c}) AS {c}_lo, MAX({c}) AS {c}_hi" for c in cols)
+        + f" FROM (SELECT {', '.join(cols)} FROM {rows} UNION ALL SELECT {', '.join(cols)} FROM {train}))",
+        f"{p}_m AS (SELECT " + ", ".join(f"AVG({at(c)}) FILTER ({label} = {y}) AS {c}_{y}" for c in cols for y in (0, 1)) + f" FROM {train}, {p}_b)",
+        f"{p}_p AS (SELECT r.*, CASE WHEN {away(1)} < {away(0)} THEN 1 ELSE 0 END AS prediction FROM {rows} r, {p}_b, {p}_m m)",
+    ]
+
+
+_GEN_REAL = ["gen AS (SELECT * FROM lab WHERE origin = 'gen')", "obs AS (SELECT * FROM lab WHERE origin = 'real')"]
+
+
+@query(
+    "split_by_clf_rule",
+    sql("SELECT oid, label, prediction FROM s_p", _MOID_LABELLED, *_GEN_REAL, *_centroid_ctes("s", "obs", "gen", ["w", "q", "e"])),
+)
+def split_by_clf_rule(spark, sf):
+    """Split of the real orbits by nearest means of the virtual ones."""
+    df = _moid_labelled(spark, sf)
+    gen, real = (df.filter(F.col("origin") == o) for o in ("gen", "real"))
+    return kernel.split_by_clf(CentroidClassifier(), ["w", "q", "e"], gen, real)[0].select("oid", "label", "prediction")
+
+
+@query(
+    "split_quality_rule",
+    sql(_quality_sql("s_p"), _MOID_LABELLED, *_centroid_ctes("s", "lab", "lab", ["w", "q", "e"])),
+)
+def split_quality_rule(spark, sf):
+    return _report(kernel.split_by_clf(CentroidClassifier(), ["w", "q", "e"], _moid_labelled(spark, sf))[0])
+
+
+@query(
+    "domain_mask_rule",
+    sql(
+        "SELECT CAST(in_domain AS INTEGER) AS in_domain, prediction, COUNT(*) AS n FROM k_p GROUP BY 1, 2",
+        "flagged AS (SELECT *, CASE WHEN q <= 0.6e0 + w / 1000 THEN 1 ELSE 0 END AS in_domain FROM orbits)",
+        *_centroid_ctes("k", "flagged", "flagged", ["w", "q"], "in_domain"),
+    ),
+)
+def domain_mask_rule(spark, sf):
+    df = orbits(spark, sf).withColumn("in_domain", (F.col("q") <= 0.6 + F.col("w") / 1000).cast("int"))
+    cols = ["w", "q"]
+    out = kernel.domain_mask(CentroidClassifier(), df, cols, scaling.bounds(df, cols)).transform(df)
+    return out.groupBy("in_domain", "prediction").agg(F.count("*").alias("n"))
+
+
+def _fold_ctes(k: int) -> list[str]:
+    return [
+        f"test{k} AS (SELECT * FROM lab WHERE oid % 3 = {k})", f"train{k} AS (SELECT * FROM lab WHERE oid % 3 <> {k})",
+        # scaled by the training rows alone
+        *[c.replace(f"SELECT w, q, e FROM test{k} UNION ALL ", "") for c in _centroid_ctes(f"f{k}", f"test{k}", f"train{k}", ["w", "q", "e"])],
+    ]
+
+
+@query(
+    "kfold_rule",
+    sql(
+        "SELECT CAST(oid % 3 AS INTEGER) AS fold, " + r6(
+            score="AVG(CASE WHEN prediction = label THEN 1e0 ELSE 0e0 END)", predicted_haz_fraction="AVG(prediction)", true_haz_fraction="AVG(label)",
+        ) + " FROM (SELECT oid, label, prediction FROM f0_p UNION ALL SELECT oid, label, prediction FROM f1_p UNION ALL SELECT oid, label, prediction FROM f2_p) GROUP BY 1",
+        _MOID_LABELLED, *_fold_ctes(0), *_fold_ctes(1), *_fold_ctes(2),
+    ),
+)
+def kfold_rule(spark, sf):
+    return rounded(crossval.kfold(CentroidClassifier(), ["w", "q", "e"], _moid_labelled(spark, sf), fold=F.col("oid") % 3))
+
+
+@query(
+    "positive_points_rule",
+    sql(
+        "SELECT CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy, CAST(iz AS INTEGER) AS iz, " + r6(x="w", y="q", z="e") + " FROM c_p WHERE prediction = 1",
+        _MOID_LABELLED,
+        "cube AS (SELECT ix, iy, iz, ix*1e0/29 AS w, iy*1e0/29 AS q, iz*1e0/29 AS e FROM (SELECT UNNEST(RANGE(30)) AS ix), (SELECT UNNEST(RANGE(30)) AS iy), (SELECT UNNEST(RANGE(30)) AS iz))",
+        "lb AS (SELECT MIN(w) AS w0, MAX(w) AS w1, MIN(q) AS q0, MAX(q) AS q1, MIN(e) AS e0, MAX(e) AS e1 FROM lab)",
+        "scaled AS (SELECT label, (w-w0)/(w1-w0) AS w, (q-q0)/(q1-q0) AS q, (e-e0)/(e1-e0) AS e FROM lab, lb)",
+        *_centroid_ctes("c", "cube", "scaled", ["w", "q", "e"]),
+    ),
+)
+def positive_points_rule(spark, sf):
+    _, _, model = kernel.split_by_clf(CentroidClassifier(), ["w", "q", "e"], _moid_labelled(spark, sf))
+    return rounded(grids.positive_points(spark, model.predict_unit, model.cols, 30))
+
+
+def _stage_ctes(p: str, rows: str, cols: list[str], doubled: bool, where: str = "TRUE") -> list[str]:
+    w = f"UNNEST({_DM_VALUES}) AS w" if doubled else "w"
+    train = f"{p}_t AS (SELECT * FROM (SELECT label, {w}, a, e, i, om, q FROM {rows} WHERE origin = 'gen') WHERE {where})"
+    return [train, *_centroid_ctes(p, rows, f"{p}_t", cols)]
+
+
+@query(
+    "cascade_rule",
+    sql(
+        "SELECT oid, grp, 's1' AS stage FROM s1_p WHERE prediction = 1 UNION ALL SELECT oid, grp, NULL FROM s1_p WHERE prediction = 0 "
+        "UNION ALL SELECT oid, grp, 's2' FROM s2_p WHERE prediction = 1 UNION ALL SELECT oid, grp, 's3' FROM s3_p WHERE prediction = 1 "
+        "UNION ALL SELECT oid, grp, NULL FROM s3_p WHERE prediction = 0 UNION ALL SELECT oid, grp, NULL FROM s4_p WHERE prediction = 0 "
+        "UNION ALL SELECT oid, grp, CASE WHEN prediction = 1 THEN 's5' END FROM s5_p "
+        "UNION ALL SELECT oid, NULL, NULL FROM lab WHERE oid NOT IN (SELECT oid FROM grp)",
+        _MOID_LABELLED, "grp AS (" + TAGS.format(src="lab") + ")",
+        "low AS (SELECT * FROM grp WHERE grp IN ('atira', 'aten'))", *_stage_ctes("s1", "low", ["a", "i"], False),
+        "apollo AS (SELECT * FROM grp WHERE grp = 'apollo')", *_stage_ctes("s2", "apollo", ["w", "q", "i"], True, "q > 0.7"),
+        "rest AS (SELECT * EXCLUDE (prediction) FROM s2_p WHERE prediction = 0)", *_stage_ctes("s3", "rest", ["w", "q", "a"], True),
+        "amor AS (SELECT * FROM grp WHERE grp = 'amor')", *_stage_ctes("s4", "amor", ["w", "i"], True),
+        "inside AS (SELECT * EXCLUDE (prediction) FROM s4_p WHERE prediction = 1)", *_stage_ctes("s5", "inside", ["w", "om", "q"], False),
+    ),
+)
+def cascade_rule(spark, sf):
+    """Stages of the first domain's shape with nearest means: which stage took which orbit."""
+    double = lambda d: augment.double_mirror(d, "w", 180.0)
+    stage = lambda name, cols, **more: cascade.Stage(name, cols, CentroidClassifier, **more)
+    flows_ = [
+        cascade.Flow(("atira", "aten"), [stage("s1", ["a", "i"])]),
+        cascade.Flow(("apollo",), [
+            stage("s2", ["w", "q", "i"], augment=[double], train_where=lambda: F.col("q") > 0.7),
+            stage("s3", ["w", "q", "a"], augment=[double]),
+        ]),
+        cascade.Flow(("amor",), [stage("s4", ["w", "i"], augment=[double], follow="inside"), stage("s5", ["w", "om", "q"])]),
+    ]
+    return cascade.run_cascade(_moid_labelled(spark, sf), flows_)[0].select("oid", "grp", "stage")
+
+
 def _cascade_query(k):
     @query(f"cascade_domain{k}")
     def run(spark, sf):
@@ -432,10 +600,6 @@ def dbscan_ctes(p: str, src: str, x: str, y: str, eps: str, m: int) -> list[str]
     ]
 
 
-def recursive(text: str) -> str:
-    return text.replace("WITH orbits", "WITH RECURSIVE orbits", 1)
-
-
 @query(
     "dbscan",
     recursive(
