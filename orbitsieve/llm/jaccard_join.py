@@ -325,10 +325,14 @@ def link_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     found = written(_compared(written(_list_pairs(lists, percent), "pairs"), docs, k, percent, ranks), "compared")
     links = written(components(found.where("linked")), "components")
     below = (
-        found.where(F.size("keys") > 0).select(F.col("b").alias("node"), "n", "size", F.posexplode("keys").alias("place", "key"))
-        .join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        .withColumn("place", F.col("place").cast("long"))
+        found.where(F.size("keys") > 0).withColumnRenamed("b", "node").join(links, "node", "left")
+        .select("a", "node", "n", "size", "keys", F.coalesce("component", "node").alias("component"))
     )
+    below = written(below, "below")
+    # a hub whose members are one component has nothing left to link
+    mixed = below.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    below = below.join(mixed.select("a"), "a", "left_semi").select("node", "n", "size", "component", F.posexplode("keys").alias("place", "key"))
+    below = below.withColumn("place", F.col("place").cast("long"))
     more = _compared(written(_difference_pairs(below, percent), "pairs"), docs, k, percent, ranks).where("linked")
     edges = links.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b"))
     members = rows.join(sets.select("n", "s1", "s2", "node"), ["n", "s1", "s2"], "left")
