@@ -1,5 +1,9 @@
 """Orbit geometry columns and point rows."""
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K
@@ -53,10 +57,49 @@ def unit_circle(spark, n: int = 50) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias("k"), F.cos(t).alias("x"), F.sin(t).alias("y"))
 
 
-def ecliptic_closest(df: DataFrame, n: int = 100) -> DataFrame:
-    """Rows (oid, rx, ry): smallest in-plane gap to radius 1 along the orbit, and the height there.
+def plane_points(a, e, i, w, om, t):
+    """x, y, z (numpy) of orbits (rows; angles in degrees) at true anomalies ``t`` (columns)."""
+    a, e, i, w, om = (np.asarray(v, dtype=float)[:, None] for v in (a, e, i, w, om))
+    r = a * (1 - e * e) / (1 + e * np.cos(t))
+    u, node, tilt = t + np.radians(w), np.radians(om), np.radians(i)
+    x = r * (np.cos(node) * np.cos(u) - np.sin(node) * np.sin(u) * np.cos(tilt))
+    y = r * (np.sin(node) * np.cos(u) + np.cos(node) * np.sin(u) * np.cos(tilt))
+    return x, y, r * np.sin(u) * np.sin(tilt)
+
+
+def least_of_points(angles, measure, schema: str):
+    """Column function (a, e, i, w, om): ``measure`` of each orbit's points, where its first value is least.
+
+    Works row by row on Arrow batches: no key, no shuffle; NULL for an orbit with an unknown element."""
+    angles = np.asarray(angles, dtype=float)
+    names = [part.split()[0] for part in schema.split(",")]
+
+    @F.pandas_udf(schema)
+    def least(a: pd.Series, e: pd.Series, i: pd.Series, w: pd.Series, om: pd.Series) -> pd.DataFrame:
+        parts = []
+        for k in range(0, len(a), POINT_BLOCK):
+            values = measure(angles, *plane_points(*[c.iloc[k : k + POINT_BLOCK] for c in (a, e, i, w, om)], angles))
+            values = [np.broadcast_to(v, values[0].shape) for v in values]
+            known = np.isfinite(values[0]).all(1)
+            at = np.where(known[:, None], values[0], 0).argmin(1)
+            parts.append([np.where(known, v[np.arange(len(at)), at], np.nan) for v in values])
+        columns = [np.concatenate(v) for v in zip(*parts)] if parts else [[] for _ in names]
+        return pd.DataFrame(dict(zip(names, columns))).astype(float)
+
+    cleared = lambda v: F.struct(*[F.nanvl(v[n], F.lit(None).cast("double")).alias(n) for n in names])
+    return lambda a="a", e="e", i="i", w="w", om="om": cleared(least(a, e, i, w, om))
 
-    Points are made and reduced inside the same task; only one row per orbit is shuffled.
-    """
-    points = orbit_polyline(df, n).withColumn("gap", F.abs(F.hypot("x", "y") - 1))
-    return points.groupBy("oid").agg(F.min("gap").alias("rx"), F.min_by("z", "gap").alias("ry"))
+
+POINT_BLOCK = 4096  # orbits whose points exist at a time
+
+
+def polyline_angles(n: int) -> list[float]:
+    """The n + 1 angles of a polyline: dense near the ends of the long axis."""
+    half = [math.pi * math.sin(k * math.pi / n) for k in range(n + 1)]
+    return [h if k <= n // 2 else K.TWO_PI - h for k, h in enumerate(half)]
+
+
+def ecliptic_closest(df: DataFrame, n: int = 100) -> DataFrame:
+    """Rows (oid, rx, ry): smallest in-plane gap to radius 1 along the orbit, and the height there. One row per row."""
+    near = least_of_points(polyline_angles(n), lambda t, x, y, z: (np.abs(np.hypot(x, y) - 1), z), "rx double, ry double")
+    return df.select("oid", near().alias("p")).select("oid", "p.rx", "p.ry")

@@ -1,5 +1,6 @@
 """Histograms: one pass, counted before the shuffle, so the shuffle holds at most one row per bin."""
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
@@ -8,10 +9,13 @@ from .. import constants as K
 from .scaling import bounds, unit
 
 
+MOST_BINS = 10_000_000
+
+
 def hist_table(df: DataFrame, cols: list[str], n: int = 50) -> DataFrame:
     """Density histograms of several columns: rows (name, bin, center, width, density).
 
-    Bins run from 0 to the maximum; their number stretches ``n`` by max / (max - min).
+    Bins run from 0 to the maximum; their number stretches ``n`` by max / (max - min), MOST_BINS at most.
     """
     lim = bounds(df, cols)
     parts, frames = [], []
@@ -22,6 +26,8 @@ def hist_table(df: DataFrame, cols: list[str], n: int = 50) -> DataFrame:
         nb = int(hi * n / (hi - lo)) - 1
         if nb < 1:
             raise ValueError(f"column {c} reaches so far below 0 that {n} leaves no bin above it")
+        if nb > MOST_BINS:
+            raise ValueError(f"column {c} would have {nb} bins; shift it towards 0 or take fewer than {n}")
         width = hi / nb
         slot = F.least(F.floor(F.col(c) / width), F.lit(nb - 1)).cast("int")
         parts.append(F.when(F.col(c) >= 0, F.struct(F.lit(c).alias("name"), slot.alias("bin"))))
@@ -33,8 +39,10 @@ def hist_table(df: DataFrame, cols: list[str], n: int = 50) -> DataFrame:
         .agg(F.count("*").alias("n"))
     )
     # From here on at most one row per bin.
-    all_bins = df.sparkSession.createDataFrame(frames, "name string, nb int, width double").select(
-        "name", "width", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bin")
+    spark = df.sparkSession
+    all_bins = reduce(
+        DataFrame.unionByName,
+        [spark.range(nb).select(F.lit(c).alias("name"), F.lit(width).alias("width"), F.col("id").cast("int").alias("bin")) for c, nb, width in frames],
     )
     totals = counted.groupBy("name").agg(F.sum("n").alias("total"))
     return (

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
-from ..functions import orbital as O
+from .geometry import least_of_points
 
 GRID = 256  # profile points around the orbit
 FINE = 16  # points per profile cell when a minimum is looked at closely
@@ -130,18 +130,13 @@ def append_moid(df: DataFrame) -> DataFrame:
 
 
 def moid_coarse(df: DataFrame, steps: int = 72) -> DataFrame:
-    """Rows (oid, moid_coarse, theta): smallest distance to the Earth's orbit over ``steps`` points.
-
-    Points are made and reduced in the same task; one row per orbit is shuffled.
-    """
-    points = df.select(
-        "oid", "a", "e", "i", "w", "om", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("k")
-    ).withColumn("theta", F.col("k") * (K.TWO_PI / steps))
-    p = points.withColumn("p", O.orbit_point("theta")).select("oid", "theta", "p.x", "p.y", "p.z")
-    gap = F.hypot("x", "y") - O.earth_radius_towards("x", "y")
-    d = p.withColumn("d2", gap * gap + F.col("z") * F.col("z"))
-    return (
-        d.groupBy("oid")
-        .agg(F.min("d2").alias("d2"), F.min_by("theta", "d2").alias("theta"))
-        .select("oid", F.least(F.sqrt("d2"), F.lit(K.MOID_CEILING)).alias("moid_coarse"), "theta")
-    )
+    """Rows (oid, moid_coarse, theta): smallest distance to the Earth's orbit over ``steps`` points. One row per row."""
+    turn = math.radians(K.EARTH_W + K.EARTH_OM)
+
+    def away(t, x, y, z):
+        earth = K.EARTH_A * (1 - K.EARTH_E**2) / (1 + K.EARTH_E * np.cos(np.arctan2(y, x) - turn))
+        return (np.hypot(x, y) - earth) ** 2 + z * z, t
+
+    near = least_of_points(np.arange(steps) * (K.TWO_PI / steps), away, "d2 double, theta double")
+    d = df.select("oid", near().alias("p"))
+    return d.select("oid", F.least(F.sqrt("p.d2"), F.lit(K.MOID_CEILING)).alias("moid_coarse"), "p.theta")

@@ -642,6 +642,17 @@ def ellipse_polyline(spark, sf):
     return _box_of(geometry.ellipse_polyline(orbits(spark, sf)), "x", "y")
 
 
+_FEW = 8  # points of an orbit in the queries that return them
+
+
+@query(
+    "orbit_points",
+    sql(f"SELECT oid, CAST(k AS INTEGER) AS k, {r6(theta='t', x='x', y='y', z='z')} FROM pts", *[c.replace("101", str(_FEW + 1)).replace("100", str(_FEW)).replace("k <= 50", f"k <= {_FEW // 2}").replace("SELECT oid, k, ", "SELECT oid, k, t, ") for c in _POLY]),
+)
+def orbit_points(spark, sf):
+    return rounded(geometry.orbit_polyline(orbits(spark, sf), _FEW))
+
+
 @query(
     "ecliptic_closest",
     sql(

@@ -121,3 +121,50 @@ def test_dataset_folders_are_pruned(spark, tmp_path, orbit_rows):
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(domain" in plan
     assert one.count() == df.filter("domain = 2 and origin = 'real'").count()
+
+
+def test_catalog_gets_a_key_and_counts_bad_values(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    from orbitsieve.sources import catalog
+
+    path = str(tmp_path / "catalog.csv")
+    with open(path, "w") as f:
+        f.write("des,name,a,q,neo\n2024 AB,, 1.5,0.9,Y\n2024 AC,x,bad,0.8,N\n2024 AD,x,,oops,N\n2024 AB,,1.5,0.9,Y\n")
+    seen = Observation()
+    rows = catalog.scan_catalog(spark, path, ["a", "q", "neo"], key=["des", "name"], malformed=seen)
+    first = rows.collect()
+    assert rows.columns == ["oid", "a", "q", "neo"]
+    assert seen.get == {"a": 1, "q": 1, "neo": 0}
+    assert first[0].oid == first[3].oid and len({r.oid for r in first}) == 3
+    again = catalog.scan_catalog(spark, path, ["a", "q", "neo"], key=["des", "name"]).repartition(3).collect()
+    assert sorted(r.oid for r in again) == sorted(r.oid for r in first)
+    clash = catalog.key_clashes(spark, path, ["des", "name"]).collect()
+    assert [tuple(r) for r in clash] == [(first[0].oid, 2, 1)]
+    assert catalog.key_clashes(spark, path, ["des", "a", "q"]).count() == 1
+    with pytest.raises(ValueError):
+        catalog.scan_catalog(spark, path, ["oid"], key=["des"])
+
+
+def test_histogram_of_dates_and_its_limit(spark):
+    from orbitsieve.operators import histogram
+
+    days = spark.range(1000).select((F.lit(2444221.5) + F.col("id") * 13.0).alias("epoch"))
+    h = histogram.hist_density(days, "epoch", 50)
+    top = 2444221.5 + 999 * 13.0
+    assert h.count() == int(top * 50 / (999 * 13.0)) - 1
+    assert abs(h.agg(F.sum(F.col("density") * F.col("width"))).first()[0] - 1) < 1e-9
+    with pytest.raises(ValueError):
+        histogram.hist_density(spark.createDataFrame([(1e9,), (1e9 + 1,)], "x double"), "x", 50)
+
+
+def test_nearest_means_are_a_real_estimator(spark, tmp_path):
+    from orbitsieve.operators.centroid import CentroidClassifier
+
+    est = CentroidClassifier(inputCols=["x", "y"])
+    est.write().overwrite().save(str(tmp_path / "est"))
+    est = CentroidClassifier.load(str(tmp_path / "est"))
+    rows = [(0.0, 0.0, 0), (0.0, 2.0, 0), (4.0, 0.0, 1), (4.0, 2.0, 1), (None, 1.0, 1)]
+    model = est.fit(spark.createDataFrame(rows, "x double, y double, label int"))
+    asked = spark.createDataFrame([(2.0, 5.0), (2.1, 0.0), (None, 0.0), (float("nan"), 0.0)], "x double, y double")
+    assert [r.prediction for r in model.transform(asked).collect()] == [0, 1, None, None]

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from orbitsieve.operators import augment, filters, geometry, quality
+from orbitsieve.operators import augment, filters, geometry, moid, quality
 from orbitsieve.scratch import scratch_root, written
 
 
@@ -43,10 +43,12 @@ def test_group_weight_counts_before_the_shuffle(table):
     assert "partial_count" in text or "partial_sum" in text
 
 
-def test_per_orbit_points_are_reduced_before_one_shuffle(table):
-    text = plan(geometry.ecliptic_closest(table))
-    assert text.count("Exchange hashpartitioning") == 1 and "partial_min" in text
-    assert "SortAggregate" not in text
+def test_nearest_points_need_no_key_and_no_shuffle(table):
+    for near in (geometry.ecliptic_closest, moid.moid_coarse):
+        text = plan(near(table))
+        assert "Exchange" not in text and "Generate" not in text and "Aggregate" not in text
+        twice = near(table.limit(5).unionByName(table.limit(5))).collect()
+        assert len(twice) == 10 and sorted(twice[:5]) == sorted(twice[5:])
 
 
 def test_no_cross_joins_in_reports(table):
