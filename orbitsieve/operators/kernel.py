@@ -7,8 +7,8 @@
   features of the kernel exp(-gamma |x - y|^2).
 
 Both are trained in the primal by Newton steps. One step is one distributed pass: every task sums
-loss, gradient and Hessian of its rows, the sums are added up in a tree, and the driver solves a
-system whose size is the number of features. Features exist only inside a task's block of rows.
+loss, gradient and Hessian of its rows, the sums are added up block by block on the executors, and the driver
+solves a system whose size is the number of features. Features exist only inside a task's block of rows.
 
 For the kernel machine, rows are first counted per micro-cell of a mesh finer than the kernel is
 wide; a cell stands at the mean of its rows with their total weight. The trainer then sees a number
@@ -32,6 +32,7 @@ from . import filters, quality
 from .scaling import Scales, bounds, minmax_normalize, unit
 
 BLOCK = 4096  # rows whose features exist at a time
+HESS_ROWS = 256  # rows of the Hessian that are sent and added as one block
 BANDS = (1.0, 0.5, 0.2)  # half-widths of the rounded hinge, wide to narrow
 LENGTHS = 0.6 ** np.arange(1, 21)  # shorter steps tried when a full one goes too far
 BIAS = 10.0  # constant feature; makes the penalty on the intercept negligible
@@ -107,16 +108,18 @@ class MarginSVC(Estimator, _MarginParams):
         beta = np.zeros(size)
         for band in BANDS if rbf else (None,):
             tol = 1e-2 if rbf and band > BANDS[-1] else 1e-3 if rbf else 1e-9
-            beta = _newton(train, cols, features, band, beta, tasks, tol)
+            beta, status = _newton(train, cols, features, band, beta, tasks, tol)
         train.unpersist()
         rows.unpersist()
-        return self._copyValues(MarginSVCModel(features, beta))
+        return self._copyValues(MarginSVCModel(features, beta, status))
 
 
 class MarginSVCModel(Model, _MarginParams):
-    def __init__(self, features, beta):
+    """``status`` tells how the last of the fits ended (see ``_newton``)."""
+
+    def __init__(self, features, beta, status="settled"):
         super().__init__()
-        self.features, self.beta = features, beta
+        self.features, self.beta, self.status = features, beta, status
 
     def margin(self, *cols):
         """Signed decision value as a Column."""
@@ -177,7 +180,7 @@ def _blocks(frames, cols, features):
 
 
 def _sums(cols, features, beta, band):
-    """Task part of one pass: loss, gradient and Hessian of the data term, as binaries."""
+    """Task part of one pass: loss and gradient (block 0) and blocks of rows of the Hessian of the data term."""
 
     def part(frames):
         size = len(beta)
@@ -189,8 +192,8 @@ def _sums(cols, features, beta, band):
             active = curve > 0
             za = z[active] * np.sqrt(curve[active])[:, None]
             hess += za.T @ za
-        upper = hess[np.triu_indices(size)]
-        yield pd.DataFrame({"sums": [np.append(loss, grad).tobytes()], "hess": [upper.tobytes()]})
+        data = [np.append(loss, grad)] + [hess[a : a + HESS_ROWS, a:] for a in range(0, size, HESS_ROWS)]
+        yield pd.DataFrame({"block": np.arange(len(data)), "data": [x.tobytes() for x in data]})
 
     return part
 
@@ -208,57 +211,55 @@ def _tries(cols, features, beta, step, band):
     return part
 
 
-def _total(pairs):
-    """Sum of (sums, upper half of the Hessian) pairs of binaries."""
-    sums = hess = 0.0
-    for s, h in pairs:
-        sums = sums + np.frombuffer(s)
-        hess = hess + np.frombuffer(h)
-    return sums, hess
-
-
-def _add_up(frames):
-    pairs = [(s, h) for pdf in frames for s, h in zip(pdf["sums"], pdf["hess"])]
-    if pairs:
-        sums, hess = _total(pairs)
-        yield pd.DataFrame({"sums": [sums.tobytes()], "hess": [hess.tobytes()]})
+def _add_blocks(frames):
+    """Sums of blocks of the same number, one block of each at a time."""
+    total = {}
+    for pdf in frames:
+        for block, data in zip(pdf["block"], pdf["data"]):
+            data = np.frombuffer(data)
+            total[block] = total[block] + data if block in total else data
+    for block, data in total.items():
+        yield pd.DataFrame({"block": [block], "data": [data.tobytes()]})
 
 
 def _newton(train, cols, features, band, beta, tasks, tol, rounds=30):
-    """Minimise |beta|^2 / 2 + data term for one band width, until a step gains less than ``tol``."""
+    """Minimise |beta|^2 / 2 + data term for one band width, until a step gains less than ``tol``.
+
+    Returns the point and how it ended: ``settled``, ``stuck`` (no shorter step gains) or at the ``limit`` of rounds.
+    """
     size = len(beta)
-    at = np.triu_indices(size)
+    starts = range(0, size, HESS_ROWS)
 
     def evaluate(b):
-        parts = train.mapInPandas(_sums(cols, features, b, band), "sums binary, hess binary")
-        if tasks is None or tasks > 16:  # add in a tree
-            few = parts.repartition(math.ceil(math.sqrt(tasks or 64)))
-            parts = few.mapInPandas(_add_up, "sums binary, hess binary")
-        sums, upper = _total(parts.collect())
-        hess = np.zeros((size, size))
-        hess[at] = upper
-        hess = hess + np.triu(hess, 1).T + np.eye(size)
+        parts = train.mapInPandas(_sums(cols, features, b, band), "block int, data binary")
+        # every block is added up by one task, so that the driver gets one matrix however many tasks there are
+        parts = parts.repartition(min(len(starts) + 1, tasks or len(starts) + 1), "block").mapInPandas(_add_blocks, "block int, data binary")
+        data = {r["block"]: np.frombuffer(r["data"]) for r in parts.collect()}
+        sums, hess = data[0], np.zeros((size, size))
+        for k, a in enumerate(starts, 1):
+            hess[a : a + HESS_ROWS, a:] = data[k].reshape(-1, size - a)
+        hess = np.triu(hess) + np.triu(hess, 1).T + np.eye(size)
         return 0.5 * b @ b + sums[0], b + sums[1:], hess
 
     value, grad, hess = evaluate(beta)
     for _ in range(rounds):
         step = -np.linalg.solve(hess, grad)
         if -float(grad @ step) <= 1e-3 * tol * abs(value):
-            break
+            return beta, "settled"
         new = evaluate(beta + step)
         if new[0] >= value:
             tries = train.mapInPandas(_tries(cols, features, beta, step, band), "k int, loss double")
             sums = {r["k"]: r["loss"] for r in tries.groupBy("k").agg(F.sum("loss").alias("loss")).collect()}
             after = [sums[k] + 0.5 * float(np.sum((beta + t * step) ** 2)) for k, t in enumerate(LENGTHS)]
             if min(after) >= value:
-                break
+                return beta, "stuck"
             step = LENGTHS[int(np.argmin(after))] * step
             new = evaluate(beta + step)
         gained, beta = value - new[0], beta + step
         value, grad, hess = new
         if gained <= tol * abs(value):
-            break
-    return beta
+            return beta, "settled"
+    return beta, "limit"
 
 
 def on_columns(est: Estimator, cols: list[str], label: str = "label") -> Estimator:

@@ -174,3 +174,23 @@ def test_classify_by_many_clusters_and_unknown_features(orbit_rows):
 def test_bounds_leave_out_nan(spark):
     rows = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (None,)], "x double")
     assert scaling.bounds(rows, ["x"]) == {"x": (1.0, 3.0)}
+
+
+def test_blocks_of_the_hessian_add_up(spark, orbit_rows, monkeypatch):
+    from orbitsieve.operators import filters, kernel
+
+    rows = filters.haz_by_moid(orbit_rows)
+    fit = lambda: kernel.split_by_clf(kernel.MarginSVC(gamma=10.0, C=2.0, numFeatures=96), ["w", "q"], rows)[2].model
+    whole = fit()
+    monkeypatch.setattr(kernel, "HESS_ROWS", 7)
+    parts = fit()
+    assert whole.status == parts.status == "settled"
+    assert np.allclose(whole.beta, parts.beta, rtol=1e-6, atol=1e-9)
+
+
+def test_a_fit_that_does_not_settle_says_so(spark):
+    from orbitsieve.operators import kernel
+
+    rows = spark.createDataFrame([(1.0, 0.0, 1.0), (-1.0, 1.0, 1.0)], "_y double, x double, _w double")
+    beta, status = kernel._newton(rows, ["x"], kernel._affine(), None, np.zeros(2), None, 0.0, rounds=1)
+    assert status == "limit" and len(beta) == 2
