@@ -489,6 +489,24 @@ def kfold_rule(spark, sf):
     return rounded(crossval.kfold(CentroidClassifier(), ["w", "q", "e"], _moid_labelled(spark, sf), fold=F.col("oid") % 3))
 
 
+@query(
+    "fit_predict_rule",
+    sql(
+        "SELECT " + r6(
+            score="AVG(CASE WHEN prediction = label THEN 1e0 ELSE 0e0 END)", predicted_haz_fraction="AVG(prediction)", true_haz_fraction="AVG(label)",
+        ) + " FROM f_p",
+        _MOID_LABELLED, *_GEN_REAL,
+        # scaled by the training rows alone
+        *[c.replace("SELECT w, q, e FROM obs UNION ALL ", "") for c in _centroid_ctes("f", "obs", "gen", ["w", "q", "e"])],
+    ),
+)
+def fit_predict_rule(spark, sf):
+    """Score of one fit on the virtual orbits, tested on the real ones."""
+    df = _moid_labelled(spark, sf)
+    gen, real = (df.filter(F.col("origin") == o) for o in ("gen", "real"))
+    return rounded(crossval.fit_predict(CentroidClassifier(), ["w", "q", "e"], gen, real)[1])
+
+
 @query(
     "positive_points_rule",
     sql(
@@ -683,6 +701,17 @@ def merge_clusters_keep_rest(spark, sf):
     return clusters.merge_clusters(df, [[3, 2], [1, 2]], merge_rest=False)
 
 
+@query(
+    "fuse_clusters",
+    sql(f"SELECT oid, cluster_id, CASE WHEN cluster_id >= 0 THEN 7 END AS class_id FROM (SELECT oid, CASE WHEN q > 0.9 THEN -1 ELSE {_cluster_sql()} END AS cluster_id FROM orbits)"),
+)
+def fuse_clusters(spark, sf):
+    """All clustered rows as one class; noise stays outside."""
+    df = rule_clusters(orbits(spark, sf))
+    noise = df.withColumn("cluster_id", F.when(F.col("q") > 0.9, -1).otherwise(F.col("cluster_id")))
+    return clusters.fuse_clusters(noise.select("oid", "cluster_id"), 7)
+
+
 @query("classify_by_cluster")
 def classify_by_cluster(spark, sf):
     df = _moid_labelled(spark, sf).select("oid", "label", "a", "i")
