@@ -194,3 +194,15 @@ def test_a_fit_that_does_not_settle_says_so(spark):
     rows = spark.createDataFrame([(1.0, 0.0, 1.0), (-1.0, 1.0, 1.0)], "_y double, x double, _w double")
     beta, status = kernel._newton(rows, ["x"], kernel._affine(), None, np.zeros(2), None, 0.0, rounds=1)
     assert status == "limit" and len(beta) == 2
+
+
+def test_folds_together_equal_folds_one_by_one(spark, orbit_rows):
+    from orbitsieve.operators import crossval, filters
+    from orbitsieve.operators.centroid import CentroidClassifier
+
+    rows = filters.haz_by_moid(orbit_rows).withColumn("fold", (F.col("oid") % 4).cast("int"))
+    cols = ["w", "q", "e"]
+    got = {r.fold: r.score for r in crossval.kfold(CentroidClassifier(), cols, rows, 4, fold=F.col("fold")).collect()}
+    for k in range(4):
+        alone = crossval.fit_predict(CentroidClassifier(), cols, rows.filter(F.col("fold") != k), rows.filter(F.col("fold") == k))[1].first()
+        assert got[k] == alone.score
