@@ -878,6 +878,32 @@ def decision_surface_masked(spark, sf):
     )
 
 
+_MASK_OFF = (
+    f"POW(ix*1e0/{_MESH-1}-m.w_1,2)+POW(iy*1e0/{_MESH-1}-m.q_1,2) >= POW(ix*1e0/{_MESH-1}-m.w_0,2)+POW(iy*1e0/{_MESH-1}-m.q_0,2)"
+)
+
+
+@query(
+    "decision_surface_trained_mask",
+    sql(
+        f"SELECT CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy, {r6(x=_axis('ix', 'w', _MESH), y=_axis('iy', 'q', _MESH), z=f'CASE WHEN {_MASK_OFF} THEN MIN(CASE WHEN {_MASK_OFF} THEN b2.i_min ELSE zz END) OVER () - 1 ELSE zz END')} "
+        f"FROM b2, k_m m, (SELECT ix, iy, COALESCE(MAX(CASE WHEN pr = 1 THEN iz*1e0/{_MESH-1} END), 0e0)*(MIN(i_max)-MIN(i_min))+MIN(i_min) AS zz FROM cube, b2 GROUP BY ix, iy)",
+        _WQI_BOUNDS, _SURFACE,
+        "flagged AS (SELECT *, CASE WHEN q <= 0.6e0 + w / 1000 THEN 1 ELSE 0 END AS in_domain FROM orbits)",
+        *_centroid_ctes("k", "flagged", "flagged", ["w", "q"], "in_domain"),
+    ),
+)
+def decision_surface_trained_mask(spark, sf):
+    """A surface outside whose domain, learnt from the orbits in it and the others, nothing is drawn."""
+    cols = ["w", "q", "i"]
+    df = orbits(spark, sf).withColumn("in_domain", (F.col("q") <= 0.6 + F.col("w") / 1000).cast("int"))
+    scales = scaling.bounds(df, cols)
+    mask = kernel.domain_mask(CentroidClassifier(), df, ["w", "q"], {c: scales[c] for c in ("w", "q")})
+    return rounded(
+        grids.decision_surface(spark, lambda d: _rule(d, *cols), cols, _MESH, scales, masks=[(mask.predict_unit, 0)], mask_level="below")
+    )
+
+
 @query("positive_points")
 def positive_points(spark, sf):
     df = _moid_labelled(spark, sf)
