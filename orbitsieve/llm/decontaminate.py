@@ -62,8 +62,18 @@ def _hashed(rows: DataFrame, words: str) -> DataFrame:
 
 def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_same, n_compared, place): each document's best stretch of each item; ``place`` is
-    the word of the document at which the item, laid beside it, starts."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    the word of the document at which the item, laid beside it, starts. Rows with the same id count as one document."""
+    best = _best(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max("x").alias("x"))
+    return best.select(
+        "doc_id", "item_id", F.col("x.n_same").cast("long").alias("n_same"), (-F.col("x.less")).cast("long").alias("n_compared"),
+        (-F.col("x.before")).cast("long").alias("place"),
+    )
+
+
+def _best(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, mark, item_id, x): the best stretch of each item in each text (``mark`` is its hash)."""
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     items = benchmark.select("item_id", _words("text").alias("item")).where(F.size("item") >= WORDS_MIN)
     size = F.size("item")
     uses = F.get(F.lit([masks_for(n) for n in range(WORDS_MIN, REACH + 1)]), F.least(size, F.lit(REACH)) - WORDS_MIN)
@@ -75,14 +85,17 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if seeds.count() <= SEEDS_MOST:
         seeds = F.broadcast(seeds)
     places = (
-        _hashed(docs.select("doc_id", _words("text").alias("words")), "words")
-        .select("doc_id", F.explode(_seeds("words", most)).alias("hashes"))
-        .select("doc_id", F.posexplode("hashes").alias("i", "seed"))
+        _hashed(docs.select("doc_id", "mark", _words("text").alias("words")), "words")
+        .select("doc_id", "mark", F.explode(_seeds("words", most)).alias("hashes"))
+        .select("doc_id", "mark", F.posexplode("hashes").alias("i", "seed"))
     )
     hits = written(
-        places.join(seeds, "seed").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("shift")).distinct(), "hits"
+        places.join(seeds, "seed").select("doc_id", "mark", "item_id", (F.col("i") - F.col("j")).alias("shift")).distinct(), "hits"
     )
-    mine = hits.join(items, "item_id").join(docs.select(F.col("doc_id").alias("_id"), "text"), F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("words", _words("text"))
+    # rows without an id are told apart by their texts, and spread by them
+    here = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
+    texts = docs.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "text")
+    mine = hits.join(items, "item_id").join(texts, here).withColumn("words", _words("text"))
     first = F.greatest(F.col("shift"), F.lit(0))
     length = F.least(F.size("words"), F.col("shift") + size) - first
     same = F.zip_with(
@@ -91,21 +104,22 @@ def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     total = lambda x: F.aggregate(x, F.lit(0), lambda a, b: a + b)
     stretch = F.least(size, F.lit(REACH))
     good = (
-        mine.where(length >= stretch).select("doc_id", "item_id", "shift", stretch.alias("stretch"), same.alias("same"))
+        mine.where(length >= stretch).select("doc_id", "mark", "item_id", "shift", stretch.alias("stretch"), same.alias("same"))
         .where(F.exists(
             F.sequence(F.lit(0), F.size("same") - F.col("stretch")),
             lambda i: total(F.slice("same", i + 1, F.col("stretch"))) >= SIMILAR * F.col("stretch"),
         ))
-        .select("doc_id", "item_id", total(F.col("same")).alias("n_same"), F.size("same").alias("n"), "shift")
+        .select("doc_id", "mark", "item_id", total(F.col("same")).alias("n_same"), F.size("same").alias("n"), "shift")
     )
     best = F.max(F.struct("n_same", (-F.col("n")).alias("less"), (-F.col("shift")).alias("before")))
-    return good.groupBy("doc_id", "item_id").agg(best.alias("x")).select(
-        "doc_id", "item_id", F.col("x.n_same").cast("long").alias("n_same"), (-F.col("x.less")).cast("long").alias("n_compared"),
-        (-F.col("x.before")).cast("long").alias("place"),
-    )
+    return good.groupBy("doc_id", "mark", "item_id").agg(best.alias("x"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The input rows whose documents hold no benchmark passage."""
-    found = passages(docs, benchmark).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_found")), "left_anti")
+    """The input rows whose texts hold no benchmark passage; rows that share an id, or have none, are judged one by one."""
+    ident, mark = "_found", "_mark"
+    while {ident, mark} & set(docs.columns):
+        ident, mark = ident + "_", mark + "_"
+    found = _best(docs, benchmark).select(F.col("doc_id").alias(ident), F.col("mark").alias(mark)).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(ident)) & (F.xxhash64(docs["text"].cast("string")) == F.col(mark))
+    return docs.join(found, same, "left_anti")

@@ -347,3 +347,15 @@ def test_pipeline(spark, sf):
     assert kept.columns == d.columns and 0 < kept.count() <= d.count()
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
+
+
+def test_decontamination_judges_rows_without_id_one_by_one(spark):
+    item = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(None, item), (None, "quite another text of some words"), (None, None), (5, item), (5, "clean text under the same id"), (6, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_found", F.lit(1)).withColumn("_mark", F.lit(2))
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted((str(i), str(t)) for i, t in rows if t != item)
+    found = sorted(decontaminate.passages(docs, bench).collect(), key=str)
+    assert sorted((str(r.doc_id), r.n_same) for r in found) == [("5", 26), ("None", 26)]
