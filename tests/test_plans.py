@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from orbitsieve.operators import augment, filters, geometry, moid, quality
 from orbitsieve.scratch import scratch_root, written
+from orbitsieve.sources.fixture import orbits
 
 
 def plan(df):
@@ -76,3 +77,10 @@ def test_scratch_follows_the_checkpoint_setting():
     assert scratch_root(FakeSession("hdfs://shared/")) == "hdfs://shared/orbitsieve-app-1"
     with pytest.raises(RuntimeError):
         scratch_root(FakeSession(None))
+
+
+def test_conditions_stay_above_the_orbit_formulas(spark, sf):
+    """A condition on a computed column is tested on its value and not as a formula on the rows of the scan."""
+    rows = filters.haz_by_moid(orbits(spark, sf)).filter("origin = 'gen'").select("oid", "w", "q", "label")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("cos(") == 2  # both nodes of the orbit, once each
