@@ -6,7 +6,8 @@ stay. High-recall generators propose more spans, which may overlap: numbers with
 addresses written out. Boosted trees see the format of a candidate and the words around it; candidates
 that agree with a base span are examples of personal data, the others are counter-examples. The lowest
 threshold at which held-out precision is at least ``PRECISION`` selects spans, unless they overlap a base
-span. Training takes at most ``TRAIN_MOST`` candidates, by the order of a hash; scoring takes all.
+span. All candidates are used: a hash of span and place holds out a quarter for the threshold, the trees learn from
+the rest, and scoring takes all.
 
 A null text is empty. Rows are independent; repeated rows and null ids are reported as they come; other
 columns are ignored. With no examples of either sort nothing is added.
@@ -35,7 +36,7 @@ PROPOSE = {
     "written": r"[A-Za-z0-9._%+-]+[\x20]?[\[(]at[\])][\x20]?[A-Za-z0-9.-]+(?:[\x20]?[\[(]dot[\])][\x20]?[A-Za-z]{2,})*",
 }
 HINTS = ("tel", "phone", "call", "fax", "mail", "contact", "card", "visa", "ssn", "iban", "ip", "version", "page", "no.")
-TRAIN_MOST, PRECISION, TREES, DEPTH = 20_000, 0.99, 12, 4
+PRECISION, TREES, DEPTH = 0.99, 12, 4
 SPANS = "array<struct<start:int,end:int,text:string>>"
 
 
@@ -131,16 +132,16 @@ def features(rows: DataFrame) -> tuple[DataFrame, list[str]]:
 def selected(rows: DataFrame) -> DataFrame | None:
     """Candidates beside the base spans that the trees accept; None if there is nothing to learn from."""
     rows, names = features(rows)
-    rows = written(VectorAssembler(inputCols=names, outputCol="features").transform(rows).drop(*names, "before", "after"), "candidates")
-    sample = rows.select("label", "features", F.xxhash64("span", "start").alias("o")).orderBy("o", "label").limit(TRAIN_MOST)
-    sample = written(sample.withColumn("held", F.pmod("o", F.lit(4)) == 0), "training")
-    seen = {(r["label"], r["held"]) for r in sample.groupBy("label", "held").count().collect()}
+    rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows).drop(*names, "before", "after")
+    rows = written(rows.withColumn("held", F.pmod(F.xxhash64("span", "start"), F.lit(4)) == 0), "candidates")
+    seen = {(r["label"], r["held"]) for r in rows.groupBy("label", "held").count().collect()}
     if not {(0.0, False), (1.0, False), (1.0, True)} <= seen:
         return None
-    model = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=1, cacheNodeIds=False).fit(sample.where("not held"))
+    train = rows.where("not held").select("label", "features")
+    model = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=1, cacheNodeIds=False).fit(train)
     score = F.round(vector_to_array("probability")[1], 4)
     held = (
-        model.transform(sample.where("held")).groupBy(score.alias("score"))
+        model.transform(rows.where("held").select("label", "features")).groupBy(score.alias("score"))
         .agg(F.sum("label").alias("good"), F.count("*").alias("n")).orderBy(F.desc("score")).collect()
     )
     good = total = 0
@@ -151,7 +152,7 @@ def selected(rows: DataFrame) -> DataFrame | None:
             threshold = r["score"]
     if threshold is None:
         return None
-    return model.transform(rows.where("not overlaps")).where(score >= threshold).drop("features", "rawPrediction", "probability", "prediction")
+    return model.transform(rows.where("not overlaps")).where(score >= threshold).drop("held", "features", "rawPrediction", "probability", "prediction")
 
 
 def find_pii(docs: DataFrame) -> DataFrame:

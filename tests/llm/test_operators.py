@@ -234,6 +234,24 @@ def test_pii_base_spans(spark):
     assert got[1]["spans"] == "" and got[2]["n_email"] == 0
 
 
+def test_pii_trees_learn_from_all_candidates(spark, monkeypatch):
+    seen = []
+
+    class Watched(pii.GBTClassifier):
+        def fit(self, rows):
+            seen.append(rows.count())
+            return super().fit(rows)
+
+    monkeypatch.setattr(pii, "GBTClassifier", Watched)
+    monkeypatch.setattr(pii, "TREES", 1)
+    rows = spark.range(28_000).selectExpr(
+        "'number' AS kind", "int(id) AS start", "int(id) + 9 AS end", "string(100000000 + id) AS span", "'' AS before", "'' AS after",
+        "id % 2 = 0 AS overlaps", "double(id % 2 = 0) AS label",
+    )
+    pii.selected(rows)
+    assert seen == [rows.where("pmod(xxhash64(span, start), 4) <> 0").count()] and seen[0] > 20_000
+
+
 def test_line_chunks(spark):
     rng = random.Random(2)
     shared = [" ".join(words(rng, 8)) for _ in range(24)]
