@@ -102,3 +102,19 @@ def test_moid_does_not_shuffle(orbit_rows, spark, sf):
         *[F.lit(1.0).alias(c) for c in ("a", "e", "i", "w", "om")]
     ))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_solved_minima_leave_the_work(monkeypatch):
+    """A minimum that has settled isn't polished on for the slowest one, and orbits don't depend on their batch."""
+    from orbitsieve.operators import moid as solver
+
+    rng = np.random.default_rng(4)
+    n = 400
+    q, e = rng.uniform(0.2, 1.3, n), rng.uniform(0.0, 0.9, n)
+    orbit = [q / (1 - e), e, *(np.radians(rng.uniform(0, x, n)) for x in (60, 360, 360))]
+    sizes, hypot = [], np.hypot
+    monkeypatch.setattr(np, "hypot", lambda x, y: x.ndim == 1 and sizes.append(x.size) or hypot(x, y))
+    together = solver._solve(*orbit)
+    assert sizes[-1] < sizes[0] / 2
+    alone = np.concatenate([solver._solve(*(x[k : k + 1] for x in orbit)) for k in range(0, n, 20)])
+    assert np.allclose(together[::20], alone, rtol=0, atol=1e-12)
