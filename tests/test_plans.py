@@ -79,8 +79,10 @@ def test_scratch_follows_the_checkpoint_setting():
         scratch_root(FakeSession(None))
 
 
-def test_conditions_stay_above_the_orbit_formulas(spark, sf):
+def test_conditions_stay_above_the_orbit_formulas(spark, tmp_path):
     """A condition on a computed column is tested on its value and not as a formula on the rows of the scan."""
-    rows = filters.haz_by_moid(orbits(spark, sf)).filter("origin = 'gen'").select("oid", "w", "q", "label")
+    lines = spark.createDataFrame([(1, 1), (2, 6)], "l_orderkey long, l_linenumber int")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = filters.haz_by_moid(orbits(spark, str(tmp_path))).filter("origin = 'gen'").select("oid", "w", "q", "label")
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("cos(") == 2  # both nodes of the orbit, once each
