@@ -22,12 +22,13 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols, HasLabelCol, HasPredictionCol, HasSeed
 from pyspark.sql import DataFrame, functions as F
 
+from ..scratch import scratch_path
 from . import filters, quality
 from .scaling import Scales, bounds, minmax_normalize, unit
 
@@ -270,6 +271,20 @@ def on_columns(est: Estimator, cols: list[str], label: str = "label") -> Estimat
     return Pipeline(stages=[vector, est.copy({est.getParam("labelCol"): label})])
 
 
+def _without_summary(model: Model, spark) -> Model:
+    """The model as written and read back if it has a training summary, which reading leaves out.
+
+    The summary of two classes holds the session, and a session that has observed metrics can't be sent to tasks.
+    """
+    if isinstance(model, PipelineModel):
+        return PipelineModel([_without_summary(stage, spark) for stage in model.stages])
+    if not getattr(model, "hasSummary", False):
+        return model
+    path = scratch_path(spark, "model")
+    model.save(path)
+    return type(model).load(path)
+
+
 class ColumnModel:
     """A fitted model with the columns and bounds it was trained on.
 
@@ -304,7 +319,7 @@ def fit_columns(
 ) -> ColumnModel:
     """Normalise by ``scales`` and fit."""
     train = minmax_normalize(df.select(label, *cols), cols, scales)[0].dropna()
-    return ColumnModel(on_columns(est, cols, label).fit(train), cols, scales)
+    return ColumnModel(_without_summary(on_columns(est, cols, label).fit(train), df.sparkSession), cols, scales)
 
 
 def domain_mask(est: Estimator, df: DataFrame, cols: list[str], scales: Scales) -> ColumnModel:

@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from orbitsieve.operators import cascade, clusters, crossval, filters, grids, kernel, quality, scaling
 from orbitsieve.operators.cascade import Flow, Stage
@@ -171,6 +171,20 @@ def test_classify_by_many_clusters_and_unknown_features(orbit_rows):
     assert max(model.classes) > 100
 
 
+def test_models_of_two_classes_after_an_observation(spark):
+    rows = spark.createDataFrame([(k, k % 5 // 3, float(k % 5), float(k % 7)) for k in range(200)], "oid long, label int, w double, q double")
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 200}
+    for est in (LogisticRegression(maxIter=5), RandomForestClassifier(numTrees=3, seed=1)):
+        got = {(r["label"], r["prediction"]) for r in kernel.split_by_clf(est, ["w", "q"], rows)[0].collect()}
+        assert got == {(0, 0), (1, 1)}
+    for ids in (1, 2):
+        parts = rows.withColumn("cluster_id", F.when(F.col("w") < 2.5, 1).otherwise(ids))
+        share = clusters.classify_by_cluster(parts, RandomForestClassifier(numTrees=3, seed=1), ["w", "q"], rows)[1]
+        assert {r["cluster_id"]: r["n"] for r in share.collect()} == ({1: 200} if ids == 1 else {1: 120, 2: 80})
+
+
 def test_bounds_leave_out_nan(spark):
     rows = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (None,)], "x double")
     assert scaling.bounds(rows, ["x"]) == {"x": (1.0, 3.0)}
