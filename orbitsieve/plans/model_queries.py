@@ -14,6 +14,7 @@ from ..operators import (
 from ..operators.centroid import CentroidClassifier
 from ..functions.pdfs import FAMILIES, mixture
 from ..functions.uniforms import uniform_sql
+from ..scratch import written
 from ..sources.fixture import orbits
 from . import domains, flows
 from .queries import (
@@ -323,7 +324,7 @@ def gen_orbits_inout(spark, sf):
 
 @query("gen_orbits_inout_fitted")
 def gen_orbits_inout_fitted(spark, sf):
-    df = _real(spark, sf)
+    df = written(_real(spark, sf).select("q", "e", "i", "om", "w"), "real")  # seven passes read them
     common = distributions.fit_distributions(
         df, {"q": "pearson3", "e": "johnsonsb", "i": "exponweib", "om": "harmonic"}
     )

@@ -86,3 +86,17 @@ def test_conditions_stay_above_the_orbit_formulas(spark, tmp_path):
     rows = filters.haz_by_moid(orbits(spark, str(tmp_path))).filter("origin = 'gen'").select("oid", "w", "q", "label")
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("cos(") == 2  # both nodes of the orbit, once each
+
+
+def test_fitted_inout_orbits_are_worked_out_once(spark, tmp_path, monkeypatch):
+    from orbitsieve.plans import model_queries as M
+
+    lines = spark.createDataFrame([(k, k % 7 + 1) for k in range(300)], "l_orderkey long, l_linenumber int")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    seen = []
+    monkeypatch.setattr(M.distributions, "fit_distributions", lambda df, families: seen.append(df) or dict.fromkeys(families))
+    monkeypatch.setattr(M.generate, "gen_orbits_inout", lambda spark, common, inner, outer, num: num)
+    assert M.gen_orbits_inout_fitted(spark, str(tmp_path)) == sum(k % 7 + 1 > 5 for k in range(300))
+    assert len(seen) == 3
+    for df in seen:
+        assert "Aggregate" not in df._jdf.queryExecution().executedPlan().toString()
