@@ -3,6 +3,9 @@
 1. Every document becomes its set of shingle hashes. Equal sets are merged (128-bit signature).
 2. All shingles are ordered by how often they occur: exact totals per hash bucket over all
    documents, then the hash. If two sets link, their prefixes under that order share elements.
+   Buckets say less the more shingles a corpus has, so the lists are counted, shingles with a long one
+   move to the end of the order, and sets with such a shingle in their prefix get a new prefix. Any
+   order gives the same links; one with common shingles at its end leaves few long lists.
 3. Small sets enumerate the 2-element subsets of their prefix, large sets scan the inverted lists
    of single prefix elements. The boundary is the size at which the summed cost over the corpus is
    lowest.
@@ -10,7 +13,7 @@
    the list's hub, the set whose rarest element is most common. Two sets of one list that link must share elements of their *differences* from
    the hub, or both link to it. So below each hub the rarest differences become new lists; there,
    only sets of different components pair, and only where size and place of the shared element
-   leave room for enough more of them.
+   leave room for enough more of them. A hub whose pairs cost less than its rows of differences gives its pairs.
 5. Pairs are compared with whole sets; components of the links give the result.
 
 No step lists all pairs of a long list, and no link between different sets is lost.
@@ -33,6 +36,8 @@ from orbitsieve.scratch import written
 BITS = 20
 SLAB = 1 << 14
 LIST_MAX = 16
+#: Most shingles that are moved to the end of the order; bounds what tasks hold, not the links.
+CROWDED_MOST = 1 << 20
 #: Work of one compared pair, in units of one row sent to a list.
 PAIR_COST = 40.0
 
@@ -80,39 +85,81 @@ def shingle_ranks(docs: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def _signature(docs: DataFrame, k: int, percent: int, ranks) -> DataFrame:
-    """Per row: hash of the text, set size, signature, its rarest elements and what scanning their lists would cost."""
+def _crowded(lists: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Keys of long lists, sorted, and their lengths; the ``CROWDED_MOST`` longest if there are more."""
+    keys = lists.groupBy("key").count().where(F.col("count") > LIST_MAX)
+    found = keys.orderBy(F.desc("count"), "key").limit(CROWDED_MOST).toArrow()
+    key, length = found["key"].to_numpy().astype(np.int64).view(np.uint64), found["count"].to_numpy()
+    by_key = np.argsort(key)
+    return (key[by_key], length[by_key]) if len(key) else None
+
+
+def _lengths(s: np.ndarray, crowded: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Length of the list of each shingle that is crowded, else 0."""
+    keys, length = crowded
+    maybe = np.zeros(1 << BITS, bool)
+    maybe[keys >> np.uint64(64 - BITS)] = True
+    v = tx.mix(s)
+    out = np.zeros(len(s), np.int64)
+    look = np.flatnonzero(maybe[v >> np.uint64(64 - BITS)])
+    at = np.minimum(np.searchsorted(keys, v[look]), len(keys) - 1)
+    out[look] = np.where(keys[at] == v[look], length[at], 0)
+    return out
+
+
+def _crowded_sets(column, k: int, crowded):
+    """``_sets`` of the rows that have a crowded shingle, with the lengths of the lists."""
+    for first, last, data, off in tx.blocks(column):
+        values, at = tx.block_shingles(data, off, k)
+        length = _lengths(values, crowded)
+        some = np.concatenate([[0], np.cumsum(length > 0)])
+        for i in np.flatnonzero(some[at[1:]] > some[at[:-1]]):
+            s, of = np.unique(values[at[i] : at[i + 1]], return_index=True)
+            yield first + i, s, length[at[i] : at[i + 1]][of]
+
+
+def _signature(docs: DataFrame, k: int, percent: int, ranks, crowded=None) -> DataFrame:
+    """Per row: hash of the text, set size, signature, its rarest elements and what scanning their lists would cost.
+    With ``crowded``, which come last in the order, only rows that have one among their rarest elements without it."""
 
     def rows(batches):
         order = ranks.value
         usual = np.median(order)
         for batch in batches:
-            n, s1, s2, keys, cost, common = [], [], [], [], [], []
-            for _, s in _sets(batch.column(1), k):
+            n, s1, s2, keys, cost, common, kept = [], [], [], [], [], [], []
+            found = _crowded_sets(batch.column(1), k, crowded.value) if crowded else _sets(batch.column(1), k)
+            for row, s, *length in found:
                 m = len(s)
                 need = -(-percent * m // 100)
-                n.append(m)
-                s1.append(int(tx.mix(s).sum(dtype=np.uint64)))
-                s2.append(int(tx.mix(s ^ np.uint64(0xC2B2AE3D27D4EB4F)).sum(dtype=np.uint64)))
                 if need == m:  # only equal sets can link
                     alone = m * (100 - percent) < percent
                 else:
                     alone = False
-                if alone or m < 2:
+                alone = alone or m < 2
+                rank = order[s >> np.uint64(64 - BITS)]
+                first = np.lexsort((s, rank))[: m - need + 2]
+                if length:
+                    if alone or not length[0][first].any():
+                        continue
+                    first = np.lexsort((s, rank, length[0]))[: m - need + 2]
+                kept.append(row)
+                n.append(m)
+                s1.append(int(tx.mix(s).sum(dtype=np.uint64)))
+                s2.append(int(tx.mix(s ^ np.uint64(0xC2B2AE3D27D4EB4F)).sum(dtype=np.uint64)))
+                if alone:
                     keys.append(s[:0])
                     cost.append(0.0)
                     common.append(0)
                     continue
-                rank = order[s >> np.uint64(64 - BITS)]
-                first = np.lexsort((s, rank))[: m - need + 2]
                 keys.append(s[first])
                 common.append(int(rank[first[0]]))
                 extra = np.maximum(rank[first[: m - need + 1]].astype(float) - usual, 0)
                 cost.append(float((1 + PAIR_COST * np.minimum(extra, LIST_MAX)).sum()))
+            of = pa.array(kept, pa.int64())
             yield pa.record_batch(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(tx.signed(np.array(s1, np.uint64))),
+                [batch.column(0).take(of), pa.array(n, pa.int64()), pa.array(tx.signed(np.array(s1, np.uint64))),
                  pa.array(tx.signed(np.array(s2, np.uint64))), tx.packed(keys), pa.array(cost, pa.float64()),
-                 pa.array(common, pa.int64()), batch.column(2)],
+                 pa.array(common, pa.int64()), batch.column(2).take(of)],
                 ["doc_id", "n", "s1", "s2", "keys", "cost", "common", "mark"],
             )
 
@@ -137,9 +184,17 @@ def boundary(sets: DataFrame) -> int:
     return int(at)
 
 
-def _keys(sets: DataFrame, small: int, percent: int) -> DataFrame:
+def _keys(sets: DataFrame, small: int, percent: int, crowded=None) -> DataFrame:
+    """Rows of lists; with ``crowded``, of the sets that have none of them."""
+
     def rows(batches):
         for batch in batches:
+            if crowded:
+                raw = batch.column(3)
+                sizes = np.array([len(x.as_buffer()) // 8 for x in raw])
+                length = _lengths(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in raw] or [np.zeros(0, np.uint64)]), crowded.value)
+                some = np.concatenate([[0], np.cumsum(length > 0)])[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
+                batch = batch.filter(pa.array(some[1:] == some[:-1]))
             keys, nodes, sizes, usual = [], [], [], []
             for node, n, common, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 s = np.frombuffer(raw, np.uint64)
@@ -259,6 +314,16 @@ def _difference_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return found.where("a <> b").distinct().withColumn("star", F.lit(False))
 
 
+def _hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components below each hub whose sizes and numbers of differences leave room for a link."""
+    one, two = (rows.select("a", *(F.col(c).alias(f"{c}{i}") for c in ("node", "n", "size", "component"))) for i in (1, 2))
+    close = (F.abs(F.col("size1") - F.col("size2")) * (100 + percent) <= (F.col("n1") + F.col("n2")) * (100 - percent)) & (
+        100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")
+    )
+    found = one.join(two, "a").where((F.col("node1") < F.col("node2")) & (F.col("component1") != F.col("component2")) & close)
+    return found.select(F.col("node1").alias("a"), F.col("node2").alias("b"), F.lit(False).alias("star"))
+
+
 def _compared(pairs: DataFrame, docs: DataFrame, k: int, percent: int, ranks) -> DataFrame:
     """(a, b, n, linked, size, keys): whether each pair links and, below a hub a, how many differences b
     has from it and the first of them: elements that the hub lacks, then those that b lacks, rare ones first."""
@@ -321,7 +386,14 @@ def link_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         .select("n", "s1", "s2", F.col("x.doc_id").alias("node"), "x.keys", "x.cost", "x.common"),
         "sets",
     )
-    lists = _keys(sets.where(F.col("node").isNotNull()), boundary(sets), percent)
+    small, known = boundary(sets), sets.where(F.col("node").isNotNull())
+    lists = _keys(known, small, percent)
+    if crowded := _crowded(lists):
+        crowded = spark.sparkContext.broadcast(crowded)
+        same = ["node", "n", "s1", "s2"]
+        moved = _signature(docs, k, percent, ranks, crowded).withColumnRenamed("doc_id", "node")
+        moved = written(moved.join(known.select(same), same, "left_semi").dropDuplicates(same), "moved")
+        lists = _keys(known, small, percent, crowded).union(_keys(moved, small, percent))
     found = written(_compared(written(_list_pairs(lists, percent), "pairs"), docs, k, percent, ranks), "compared")
     links = written(components(found.where("linked")), "components")
     below = (
@@ -330,10 +402,15 @@ def link_rows(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     )
     below = written(below, "below")
     # a hub whose members are one component has nothing left to link
-    mixed = below.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    below = below.join(mixed.select("a"), "a", "left_semi").select("node", "n", "size", "component", F.posexplode("keys").alias("place", "key"))
-    below = below.withColumn("place", F.col("place").cast("long"))
-    more = _compared(written(_difference_pairs(below, percent), "pairs"), docs, k, percent, ranks).where("linked")
+    hubs = below.groupBy("a").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"), F.sum(F.size("keys")).alias("rows")
+    ).where("low <> high")
+    hubs = written(hubs.select("a", (F.col("rows") < PAIR_COST / 2 * F.col("m") * (F.col("m") - 1)).alias("split")), "hubs")
+    split = below.join(hubs.where("split").select("a"), "a", "left_semi").select("node", "n", "size", "component", F.posexplode("keys").alias("place", "key"))
+    split = _difference_pairs(split.withColumn("place", F.col("place").cast("long")), percent)
+    whole = _hub_pairs(below.join(hubs.where("not split").select("a"), "a", "left_semi"), percent)
+    more = written(split.union(whole).groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
+    more = _compared(more, docs, k, percent, ranks).where("linked")
     edges = links.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b"))
     members = rows.join(sets.select("n", "s1", "s2", "node"), ["n", "s1", "s2"], "left")
     members = members.join(components(edges), "node", "left")

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,37 @@ def test_jaccard_join_of_a_long_list(spark):
     assert got == root
 
 
+def linked_by_force(rows, k, percent):
+    sets = {i: {tuple(t.split()[j : j + k]) for j in range(len(t.split()) - k + 1)} for i, t in rows}
+    root = {i: i for i in sets}
+    links = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    for _ in range(20):
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    return root
+
+
+@pytest.mark.parametrize("own, variants, size", [(60, 150, 30), (0, 18, 2200)])
+def test_long_lists_make_few_rows(spark, monkeypatch, own, variants, size):
+    """Texts with a common part, in an order that says nothing of how often a shingle occurs: a part below the prefix's
+    share makes few rows of differences, and few long texts are compared instead of taken apart."""
+    rng = random.Random(7)
+    core, rows = words(rng, size), []
+    for i in range(variants):
+        w = list(core)
+        for _ in range(0 if own else size // 40):
+            w[rng.randrange(len(w))] = words(rng, 1)[0]
+        w = words(rng, own) + w
+        rows.append((2 * i, " ".join(w)))
+        if i % 5 == 0:
+            rows.append((2 * i + 1, " ".join(w[:-1] + words(rng, 1))))
+    made, real = [], jaccard_join._difference_pairs
+    monkeypatch.setattr(jaccard_join, "shingle_ranks", lambda docs, k: np.zeros(1 << jaccard_join.BITS, np.uint64))
+    monkeypatch.setattr(jaccard_join, "_difference_pairs", lambda r, percent: (made.append(r.count()), real(r, percent))[1])
+    got = {r[0]: r[2] for r in jaccard_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == linked_by_force(rows, 5, 80) and sum(made) < 5 * len(rows)
+
+
 def test_links_of_equal_texts_with_and_without_id(spark):
     import corpus_pipeline
 
