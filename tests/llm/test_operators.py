@@ -327,6 +327,21 @@ def test_compact_windows(docs):
     assert got[n - 3]["n_passages"] == 0 and got[0]["n_passages"] == 0
 
 
+def test_compact_windows_meet_below_a_common_line(spark):
+    """Pairs share 50 words, 30 of them a line that all texts have."""
+    rng = random.Random(11)
+    line, rows = words(rng, 30), []
+    for i in range(60):
+        twenty = words(rng, 20)
+        rows += [(j, " ".join(words(rng, 40) + line + twenty + words(rng, 40))) for j in (i, 100 + i)]
+    rows += [(200 + i, " ".join(words(rng, 60) + line + words(rng, 60))) for i in range(40)]
+    rng.shuffle(rows)
+    got = {r["doc_id"]: r for r in compact_windows.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [i for i in range(60) if i in (got[100 + i]["sources"] or [])]
+    assert len(found) >= 54 and all(got[100 + i]["passages"] == "40:90" for i in found)
+    assert all(got[i]["n_passages"] == 0 for i in [*range(60), *range(200, 240)])
+
+
 def test_secret_scan_follows_layers():
     import base64
     from urllib.parse import quote
