@@ -342,6 +342,37 @@ def test_compact_windows_meet_below_a_common_line(spark):
     assert all(got[i]["n_passages"] == 0 for i in [*range(60), *range(200, 240)])
 
 
+def test_compact_windows_are_those_of_brute_force():
+    rng = np.random.default_rng(5)
+    for top in (3, 40, 1 << 60):
+        off = np.concatenate([[0], np.cumsum([0, 20, 46, 150, 0, 90])])
+        values = rng.integers(0, top, off[-1]).astype(np.uint64)
+        windows, low = compact_windows.compact(values, off, 1)
+        h = compact_windows.tx.mix(values ^ compact_windows.tx.mix(np.array([2], np.uint64)))
+        want = []
+        for lo, hi in zip(off[:-1], off[1:]):
+            for c in range(lo, hi):
+                a = max([i for i in range(lo, c) if h[i] <= h[c]], default=lo - 1) + 1  # the first of equal ones is the minimum
+                b = min([i for i in range(c + 1, hi) if h[i] < h[c]], default=hi) - 1
+                if b - a + 1 >= compact_windows.SPAN:
+                    want.append((a, c, b))
+        assert list(map(tuple, windows.T.tolist())) == want and (low == h[windows[1]]).all()
+
+
+def test_compact_windows_move_a_text_once_for_a_family(spark):
+    """All 435 pairs of 30 near copies agree; their texts move 30 times, not once a pair."""
+    rng = random.Random(4)
+    base = words(rng, 200)
+    rows = [(i, " ".join(base[:100] + words(rng, 1) + base[100:])) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = compact_windows._agreeing(compact_windows._lists_met(docs, 4)).cache()
+    assert pairs.count() == 435
+    families = compact_windows._families(pairs, docs).collect()
+    assert len(families) == 30 and sum(len(r["others"]) for r in families) == 435
+    got = compact_windows.repeated_passages(docs).collect()
+    assert all(r["sources"] == (list(range(r["doc_id"])) or None) for r in got)
+
+
 def test_secret_scan_follows_layers():
     import base64
     from urllib.parse import quote
