@@ -373,6 +373,72 @@ def test_compact_windows_move_a_text_once_for_a_family(spark):
     assert all(r["sources"] == (list(range(r["doc_id"])) or None) for r in got)
 
 
+def test_compact_windows_of_long_lists_all_meet(spark, monkeypatch):
+    """60 texts have a passage, more than a list lets meet in pairs, and half of them another; squares of few texts give the same."""
+    rng = random.Random(7)
+    all_have, half_have = words(rng, 60), words(rng, 55)
+    rows = [(i, " ".join(words(rng, 30) + all_have + words(rng, 30) + (half_have if i % 2 else words(rng, 55)))) for i in range(60)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (compact_windows.BLOCK, 9_000):
+        monkeypatch.setattr(compact_windows, "BLOCK", block)
+        got = compact_windows.repeated_passages(docs).collect()
+        assert all(r["sources"] == (list(range(r["doc_id"])) or None) for r in got)
+        assert all(r["passages"] == ("" if r["doc_id"] == 0 else "30:90" if r["doc_id"] % 2 == 0 or r["doc_id"] == 1 else "30:90,120:175") for r in got)
+
+
+def test_compact_windows_keys_are_those_of_brute_force():
+    """Three minima of different functions have a key if some passage has all of them, and only then."""
+    rng = np.random.default_rng(9)
+    off = np.concatenate([[0], np.cumsum([70, 20, 60])])
+    values = rng.integers(0, 1 << 60, off[-1]).astype(np.uint64)
+    windows, want = [], set()
+    for k in range(compact_windows.HASHES):
+        (a, c, b), v = compact_windows.compact(values, off, k)
+        windows.append((a, c, b, compact_windows._key(v, k)))
+    a, c, b, v = (np.concatenate(x) for x in zip(*windows))
+    at = {(int(p), int(x & np.uint64(7))): int(x) for p, x in zip(c, v)}
+    hashes = [compact_windows.minima(values, off, k)[2] for k in range(compact_windows.HASHES)]
+    for lo, hi in zip(off[:-1], off[1:]):
+        for s in range(lo, hi):
+            for e in range(s + compact_windows.SPAN, hi + 1):
+                own = sorted(at[s + int(np.argmin(h[s:e])), k] for k, h in enumerate(hashes))
+                want |= {(own[i], own[j], own[k]) for i in range(6) for j in range(i + 1, 6) for k in range(j + 1, 6)}
+    mix = compact_windows.tx.mix
+    w = np.array(sorted(want), np.uint64).T
+    keys, place = compact_windows._keys(a, c, b, v)
+    assert set(keys.tolist()) == set((mix(mix(mix(w[0]) ^ w[1]) ^ w[2]) >> np.uint64(64 - compact_windows.KEY_BITS)).tolist())
+    assert {0, 2} == set((np.searchsorted(off, place, side="right") - 1).tolist())
+
+
+def test_compact_windows_of_a_family_are_compared_as_pairs_are(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = [rng.integers(0, 1 << 60, 300).astype(np.uint64) for _ in range(3)]
+    texts = []
+    for i in range(24):
+        x = base[i % 3][: rng.integers(30, 300)].copy()
+        x[rng.random(len(x)) < (0, 0.01, 0.04)[i % 3]] = rng.integers(0, 1 << 60)
+        if i % 4 == 3:  # some of the passage's tokens lie elsewhere
+            x = np.concatenate([x[:8], rng.integers(0, 1 << 60, 60).astype(np.uint64), x[8:]])
+        texts.append((int(i // 1.5), np.concatenate([rng.integers(0, 1 << 60, 20).astype(np.uint64), x, x[:60]])))
+    for most, sides in ((1 << 22, (texts, texts)), (1, (texts, texts)), (1 << 22, (texts[::2], texts[1::2]))):
+        monkeypatch.setattr(compact_windows, "HITS", most)
+        want = {}
+        for i, (a, x) in enumerate(texts):
+            for j, (b, y) in enumerate(texts):
+                if b < a and (sides[0] is texts or i % 2 != j % 2):
+                    for span in compact_windows.shared_passages(x, np.sort(x), y, np.sort(y)):
+                        want.setdefault(a, (set(), set()))[0].add(b)
+                        want[a][1].update(range(*span))
+        got = {}
+        for doc, others, spans in compact_windows._settled(*sides):
+            found = got.setdefault(doc, (set(), set()))
+            found[0].update(others.tolist())
+            for s, e in spans.reshape(-1, 2).tolist():
+                found[1].update(range(s, e))
+        assert got == want and len(want) > 6
+
+
 def test_secret_scan_follows_layers():
     import base64
     from urllib.parse import quote
