@@ -387,6 +387,20 @@ def test_compact_windows_of_long_lists_all_meet(spark, monkeypatch):
         assert all(r["passages"] == ("" if r["doc_id"] == 0 else "30:90" if r["doc_id"] % 2 == 0 or r["doc_id"] == 1 else "30:90,120:175") for r in got)
 
 
+def test_compact_windows_delete_tables_of_ended_steps(spark):
+    import os
+
+    from orbitsieve.scratch import scratch_root
+
+    os.makedirs(scratch_root(spark), exist_ok=True)
+    before = set(os.listdir(scratch_root(spark)))
+    text = " ".join(words(random.Random(2), 70))
+    docs = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string")
+    assert {r["doc_id"]: r["sources"] for r in compact_windows.repeated_passages(docs).collect()} == {i: list(range(i)) or None for i in range(40)}
+    left = {name.split("-")[0] for name in set(os.listdir(scratch_root(spark))) - before}
+    assert "passages" in left and not left & {"met", "pairs"}
+
+
 def test_compact_windows_keys_are_those_of_brute_force():
     """Three minima of different functions have a key if some passage has all of them, and only then."""
     rng = np.random.default_rng(9)
